@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, quality, secrets
+from plumbline.llm import fingerprint, mixing, pii, quality, secrets
 from plumbline.llm.shared import n_words_of, read_table, stored
 
 
@@ -27,5 +27,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("row.doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op5_mix_sources)}
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(read_table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_fingerprint, op7_personal_data)}
 ORACLES: dict[str, str] = {}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# functions that run on executors travel with the job: executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules["plumbline"])
+
 #: Words are maximal runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
