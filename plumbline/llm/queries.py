@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprint, mixing, pii, quality, secrets
+from plumbline.llm import fingerprint, mixing, packing, pii, quality, secrets, tokens
 from plumbline.llm.shared import n_words_of, read_table, stored
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files lie; they are installed wherever the job runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("d.doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), "kept")
@@ -35,5 +46,9 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_fingerprint, op7_personal_data)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.pieces_of(tokenizer_file("piece_bpe_32k.model")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_sequences, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_fingerprint, op7_personal_data, op9_token_counts)}
 ORACLES: dict[str, str] = {}
