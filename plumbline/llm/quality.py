@@ -65,10 +65,10 @@ def default_rules(q: Column) -> dict[str, Column]:
     }
 
 
-def rule_order(counted: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS, n_rows: int | None = None) -> list[str]:
+def rule_order(docs: DataFrame, text: Column, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of rules by rejection per cost on a sample of about sample_rows rows (twice as many at most)."""
-    n_rows = counted.count() if n_rows is None else n_rows
-    sample = stored(counted.select("q").sample(min(1.0, sample_rows / max(1, n_rows)), seed=7).limit(2 * sample_rows), "quality-sample")
+    some = docs.sample(min(1.0, sample_rows / max(1, docs.count())), seed=7).limit(2 * sample_rows)
+    sample = stored(with_counts(some, text).select("q"), "quality-sample")
 
     def timed(column: Column) -> tuple[float, int]:
         began = time.perf_counter()
@@ -86,7 +86,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules=default_rules, sample_r
     """d (docs' row), q (counts, as with_counts has them) and kept."""
     counted = with_counts(docs, F.col(text_col))
     named = rules(F.col("q"))
-    order = rule_order(counted, named, sample_rows, docs.count())
+    order = rule_order(docs, F.col(text_col), named, sample_rows)
     kept = F.when(F.col("q.base_failed"), False)
     for name in order:
         kept = kept.when(named[name], False)
