@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprint, mixing, packing, pii, quality, secrets, tokens
+from plumbline.llm import fingerprint, mixing, packing, pii, quality, secrets, simhash, tokens
 from plumbline.llm.shared import n_words_of, read_table, stored
 
 
@@ -46,9 +46,14 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.pieces_of(tokenizer_file("piece_bpe_32k.model")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_sequences, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_fingerprint, op7_personal_data, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_sequences, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_fingerprint, op7_personal_data, op8_simhash_dedup, op9_token_counts)}
 ORACLES: dict[str, str] = {}
