@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprint, mixing, packing, pii, quality, secrets, simhash, tokens
+from plumbline.llm import fingerprint, lines, mixing, packing, pii, quality, secrets, simhash, tokens
 from plumbline.llm.shared import n_words_of, read_table, stored
 
 
@@ -55,5 +55,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.pieces_of(tokenizer_file("piece_bpe_32k.model")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_sequences, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_fingerprint, op7_personal_data, op8_simhash_dedup, op9_token_counts)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_sequences, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_fingerprint, op7_personal_data, op8_simhash_dedup, op9_token_counts, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
