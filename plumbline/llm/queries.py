@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprint, lines, mixing, packing, pii, quality, secrets, simhash, tokens
+from plumbline.llm import fingerprint, lines, lmscore, mixing, packing, pii, quality, secrets, simhash, tokens
 from plumbline.llm.shared import n_words_of, read_table, stored
 
 
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -59,5 +63,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_sequences, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_fingerprint, op7_personal_data, op8_simhash_dedup, op9_token_counts, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_pack_sequences, op3_quality_rules, op4_secret_scan, op5_mix_sources, op6_fingerprint, op7_personal_data, op8_simhash_dedup, op9_token_counts, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
