@@ -14,7 +14,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import stored, words_of
+from plumbline.llm.shared import settled, stored, words_of
 
 #: Rows that the estimates are made on, on average.
 SAMPLE_ROWS = 2000
@@ -95,4 +95,5 @@ def judge(docs: DataFrame, text_col: str = "text", rules=default_rules, sample_r
 
 def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that the cascade keeps, with their own columns."""
-    return judge(docs, text_col, **options).where("kept").select("d.*")
+    judged = judge(docs, text_col, **options)
+    return judged.select("d", settled(F.col("kept")).alias("kept")).where("kept").select("d.*")

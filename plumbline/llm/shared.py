@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -61,3 +62,17 @@ def words_of(text: Column) -> Column:
 
 def n_words_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def settled(condition: Column) -> Column:
+    """condition, of which Catalyst thinks that it isn't deterministic.
+
+    A filter by a deterministic column moves below the projections that made it, with their expressions put in place of names: inside lambdas
+    these would then run once for each element. A filter by a column made with this stays where it is.
+    """
+    return condition & (F.rand(1) >= 0)
+
+
+def worker_memory() -> dict:
+    """What a Python worker keeps between tasks. Functions that travel with a job have globals of their own for each task."""
+    return sys.modules.setdefault("_plumbline_worker", types.ModuleType("_plumbline_worker")).__dict__
