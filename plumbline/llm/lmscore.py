@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import stored
-from plumbline.llm.wordids import WordIds
+from plumbline.llm.wordids import WordIds, word_ids
 
 PRIOR, GROUP_ROWS = 8.0, 2048
 #: Documents of a group that are encoded at once.
@@ -46,7 +46,7 @@ def counted(rows: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
     """group, bigram, n."""
 
     def count(table: pa.Table) -> pa.Table:
-        model, texts = WordIds(tokenizer_path), table.column("text").to_pylist()
+        model, texts = word_ids(tokenizer_path), table.column("text").to_pylist()
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for i in range(0, len(texts), TOGETHER):
             found = [bigrams(np.frombuffer(x, "<u4").astype(np.int64), size) for x in model.encode([t or "" for t in texts[i : i + TOGETHER]])]
@@ -92,7 +92,7 @@ def score(docs: DataFrame, target: DataFrame, tokenizer_path: str, *, id_col: st
         order = np.argsort(key)
         key = key[order]
         loss = [losses(key, right.column(c).to_numpy()[order], t) for c, t in zip(("c_target", "c_background"), tables.value, strict=True)]
-        model, texts, ids = WordIds(tokenizer_path), left.column("text").to_pylist(), left.column("doc_id").to_pylist()
+        model, texts, ids = word_ids(tokenizer_path), left.column("text").to_pylist(), left.column("doc_id").to_pylist()
         out = []
         for i in range(0, len(texts), TOGETHER):
             for doc, x in zip(ids[i : i + TOGETHER], model.encode([t or "" for t in texts[i : i + TOGETHER]]), strict=True):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import stored
-from plumbline.llm.wordids import WordIds
+from plumbline.llm.wordids import word_ids
 
 LIMIT = 2048
 #: Pricing rounds of the program, the share of the scarcest demand that a step covers, and how fast covered lengths lose weight.
@@ -168,7 +168,7 @@ def cut(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str =
     end = end_id.to_bytes(4, "little")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, task = WordIds(tokenizer_path), TaskContext.get().partitionId()
+        model, task = word_ids(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(limit + 1, np.int64)
         for batch in batches:
             out = []

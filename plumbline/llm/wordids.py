@@ -1,53 +1,68 @@
 """Ids of texts by a `tokenizers` file whose pre-tokenizer never joins what ASCII white space parts.
 
-For such a tokenizer the words of a text are encoded independently, so that a worker keeps the ids of words it has met and encodes
-the new words of many texts in one call, with a special token between them.
+For such a tokenizer the words of a text are encoded independently, and a worker keeps the ids of words it has met. A word of plain Latin
+letters, with ASCII punctuation after them at most, is two pre-tokens whose normal form is known; its ids come from the merge model directly. All other
+words go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from plumbline.llm import shared as _  # noqa: F401  functions travel with the job
+from plumbline.llm.shared import worker_memory
 
 #: Words whose ids a worker keeps.
-KEPT = 300_000
+KEPT = 600_000
+#: Letters that are their own canonical composition and whose lower case is one letter; punctuation but ' (contractions) and < (special tokens).
+PLAIN = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")
 
 
-class WordIds:
-    """path: a tokenizer file; separator: a special token of it."""
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it can be seen, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)]
 
-    def __init__(self, path: str, separator: str = "<|startoftext|>") -> None:
+
+class WordIds(dict):
+    """The ids of words (bytes to bytes, little-endian unsigned 32-bit numbers), worked out when first asked for."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator, self.mark = separator, self.tokenizer.token_to_id(separator)
-        self.kept: dict[bytes, bytes] = {}
-
-    def learn(self, texts: Iterable[list[bytes]]) -> None:
-        """Make sure that the words' ids are kept."""
-        new = {w for words in texts for w in words if w not in self.kept}
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = {w for words in texts for w in words}
-        sign = self.separator[:-2].encode()
-        plain = [w for w in new if sign not in w]
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(f" {self.separator} ".join(w.decode("utf-8", "replace") for w in some), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark)
-            for w, part in zip(some, np.split(ids, cuts), strict=True):
-                self.kept[w] = (part[1:] if len(part) and part[0] == self.mark else part).astype("<u4").tobytes()
-        for w in new.difference(plain):
-            self.kept[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self.letters = byte_letters()
+        # the short way holds for lower-casing byte-level models with the usual pre-tokens only
+        self.short = self.whole("Aé#!") == self.plain("Aé", "#!")
+
+    def whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def plain(self, letters: str, signs: str) -> bytes:
+        ids = []
+        for part in (letters.lower(), signs):
+            if part:
+                ids += [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else "".join([self.letters[b] for b in part.encode()]))]
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        text = word.decode("utf-8", "replace")
+        m = self.short and PLAIN.fullmatch(text)
+        ids = self[word] = self.plain(*m.groups()) if m else self.whole(text)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers."""
-        out = []
-        for i in range(0, len(texts), 64):
-            words = [t.encode("utf-8", "surrogatepass").split() for t in texts[i : i + 64]]
-            self.learn(words)
-            kept = self.kept
-            out += [b"".join([kept[w] for w in one]) for one in words]
-        return out
+        """The ids of each text."""
+        return [b"".join([self[w] for w in t.encode("utf-8", "surrogatepass").split()]) for t in texts]
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own, which it keeps from task to task."""
+    kept = worker_memory().setdefault("word_ids", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
