@@ -1,0 +1 @@
+"""Exact vector search with typed metadata filters, on Spark DataFrames."""
