@@ -3,8 +3,8 @@
 A line is compared trimmed and in lower case; lines of under MIN_CHARS code points always stay. Equal lines are one unit. Units are alike if the Jaccard
 similarity of their sets of SHINGLE-character shingles is THRESHOLD or more, directly or through others:
 
-1. Signatures: the SKETCH least shingle hashes of a unit are dealt to BANDS * ROWS bins, of which each keeps its least one (one-permutation MinHash);
-   an empty bin takes the value of the next full one. ROWS bins make a band.
+1. Signatures: shingle hashes of a unit (of a long one some SKETCH least ones) are dealt to BANDS * ROWS bins, of which each keeps its least one
+   (one-permutation MinHash); an empty bin takes the value of the next full one. ROWS bins make a band.
 2. Banding: units with an equal band share a bucket. Each is compared with the bucket's least unit first. After these links are merged,
    whatever isn't in a bucket's largest component is compared with all of the bucket that is in another component: so every pair
    of a bucket is linked, compared, or inside one component, and the pairs inside a large group of copies are never listed.
@@ -24,38 +24,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.shared import stored
+from plumbline.llm.shared import let, stored
 
 SHINGLE, THRESHOLD, MIN_CHARS = 8, 0.8, 24
-SKETCH, BANDS, ROWS = 64, 10, 4
+SKETCH, BANDS, ROWS = 96, 10, 4
 
 
 def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(" \t\r")))
 
 
+def shingle(points: Column, i: Column) -> Column:
+    """The hash of the shingle that begins at code point i of a line in UTF-32."""
+    return F.xxhash64(F.substring(points, 4 * i + 1, F.lit(4 * SHINGLE)))
+
+
+def starts(line: Column) -> Column:
+    return F.sequence(F.lit(0), F.char_length(line) - SHINGLE)
+
+
 def shingles(line: Column) -> Column:
-    """Hashes of the shingles of a line of SHINGLE code points or more, repeats included."""
-    return F.transform(F.sequence(F.lit(0), F.char_length(line) - SHINGLE), lambda i: F.xxhash64(F.substring(F.encode(line, "UTF-32"), 4 * i + 1, F.lit(4 * SHINGLE))))
+    """The set of shingle hashes of a line of SHINGLE code points or more."""
+    return F.array_distinct(let(F.encode(line, "UTF-32"), lambda points: F.transform(starts(line), lambda i: shingle(points, i))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)).cast("double")
+    """Of two sets."""
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: let(F.size(F.array_intersect(p["a"], p["b"])), lambda n: n / (F.size(p["a"]) + F.size(p["b"]) - n).cast("double")))
+
 
+def bands(line: Column) -> Column:
+    """BANDS hashes of a line's signature.
 
-def with_bands(df: DataFrame) -> DataFrame:
-    """df with `bands`, an array of BANDS hashes, of its column `line`."""
+    Of a long line's shingles those with the least hashes count, some SKETCH of them: a bin's least value is nearly always among them. The halves of a
+    hash change places, so that what decides the bin isn't what decided who is here; sorted by it, bins are runs.
+    """
     bins = BANDS * ROWS
-    df = df.withColumn("__b", F.encode("line", "UTF-32")).withColumn("__n", F.char_length("line"))
-    df = df.withColumn("__h", F.sort_array(F.transform(F.sequence(F.lit(0), F.col("__n") - SHINGLE), lambda i: F.xxhash64(F.substring(F.col("__b"), 4 * i + 1, F.lit(4 * SHINGLE))))))
-    # repeats are next to each other once sorted: a few more than SKETCH are taken before they go
-    df = df.withColumn("__h", F.slice(F.array_distinct("__h"), 1, SKETCH))
-    df = df.withColumn("__e", F.array_sort(F.transform("__h", lambda x: F.struct(F.pmod(x, F.lit(bins)).cast("int").alias("bin"), x.alias("v")))))
-    df = df.withColumn("__e", F.filter("__e", lambda x, i: (i == 0) | (F.get("__e", i - 1)["bin"] != x["bin"])))
-    fill = F.flatten(F.transform("__e", lambda x, i: F.array_repeat(x["v"], x["bin"] - F.when(i == 0, -1).otherwise(F.get("__e", i - 1)["bin"]))))
-    df = df.withColumn("__s", F.concat(fill, F.array_repeat(F.get("__e", F.lit(0))["v"], bins - 1 - F.element_at("__e", -1)["bin"])))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, *(F.get("__s", j * ROWS + k) for k in range(ROWS))))
-    return df.withColumn("bands", bands).drop("__b", "__n", "__h", "__e", "__s")
+    n = F.char_length(line) - SHINGLE + 1
+    most = F.when(n <= SKETCH, 2**63 - 1).otherwise((F.lit(-(2.0**63)) + F.lit(SKETCH * 2.0**64) / n).cast("long"))
+    turned = lambda x: F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32))
+    bin_of = lambda x: F.shiftright((F.shiftright(x, 40) + (1 << 23)) * bins, 24).cast("int")
+
+    def least(points: Column) -> Column:
+        chosen = let(most, lambda m: F.filter(starts(line), lambda i: shingle(points, i) <= m))
+        some = let(chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(0))))
+        return F.sort_array(F.transform(some, lambda i: turned(shingle(points, i))))
+
+    def first_of_bins(y: Column) -> Column:
+        return F.filter(y, lambda x, i: (i == 0) | (bin_of(F.get(y, i - 1)) != bin_of(x)))
+
+    def filled(e: Column) -> Column:
+        before = F.flatten(F.transform(e, lambda x, i: F.array_repeat(x, bin_of(x) - F.when(i == 0, -1).otherwise(bin_of(F.get(e, i - 1))))))
+        return F.concat(before, F.array_repeat(F.get(e, F.lit(0)), bins - 1 - bin_of(F.element_at(e, -1))))
+
+    def keys(s: Column) -> Column:
+        return F.array(*(F.xxhash64(F.lit(j), *(F.get(s, F.lit(j * ROWS + k)) for k in range(ROWS))) for j in range(BANDS)))
+
+    signature = let(let(let(F.encode(line, "UTF-32"), least), first_of_bins), filled)
+    return let(signature, keys)
 
 
 def row_key(id_: Column, text: Column) -> Column:
@@ -72,13 +98,13 @@ def all_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of units whose shingle sets are alike."""
     a, b = (texts.select(F.col("unit").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("sa", F.array_distinct(shingles(F.col("line_a")))).withColumn("sb", F.array_distinct(shingles(F.col("line_b"))))
-    return both.where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
+    both = pairs.join(a, "a").join(b, "b")
+    return both.where(jaccard(shingles(F.col("line_a")), shingles(F.col("line_b"))) >= threshold).select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """row (see row_key) and lines: the sorted numbers of its lines that repeat another line that stays."""
-    seen = with_bands(all_lines(docs, id_col, text_col)).select("doc", "row", "number", F.xxhash64("line").alias("unit"), F.xxhash64(F.lit(1), "line").alias("check"), "bands")
+    seen = all_lines(docs, id_col, text_col).select("doc", "row", "number", F.xxhash64("line").alias("unit"), F.xxhash64(F.lit(1), "line").alias("check"), bands(F.col("line")).alias("bands"))
     seen = stored(seen, "lines")
     first = F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc", "row", "number")).alias("first")
     # lines that only share a hash, which a second one tells, are left alone

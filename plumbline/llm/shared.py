@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,11 @@ def settled(condition: Column) -> Column:
     return condition & (F.monotonically_increasing_id() >= 0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once even if body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def worker_memory() -> dict:
     """What a Python worker keeps between tasks. Functions that travel with a job have globals of their own for each task."""
     return sys.modules.setdefault("_plumbline_worker", types.ModuleType("_plumbline_worker")).__dict__
