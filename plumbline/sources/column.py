@@ -82,7 +82,7 @@ class Column:
             return int(value)
         if self.dtype is DataType.Float32:
             try:
-                return struct.unpack("f", struct.pack("f", value))[0]
+                return struct.unpack("<f", struct.pack("<f", value))[0]
             except OverflowError:
                 raise self._mismatch("a wider float") from None
         return float(value) if self.dtype is DataType.Float64 else str(value)
