@@ -1,0 +1,46 @@
+import hashlib
+
+import pytest
+
+from plumbline.llm import fingerprint as P
+
+
+def test_algebra():
+    h = P.Hasher()
+    a, b = "first paragraph of words\nand a second one", "the third paragraph"
+    assert P.add(h.of(a), h.of(b)) == h.of(a + "\n" + b) == h.of(b + "\n" + a)
+    assert P.subtract(h.of(a + "\n" + b), h.of(b)) == h.of(a)
+    assert h.of(a) != h.of("first paragraph of words\nand a second  one")
+    assert h.of(a + "\n" + a) != h.of(a)
+
+
+def test_likeness():
+    h = P.Hasher()
+    words = [f"w{i}" for i in range(400)]
+    whole, half, other = " ".join(words), " ".join(words[:200] + [f"v{i}" for i in range(200)]), " ".join(f"u{i}" for i in range(400))
+    assert P.likeness(h.of(whole), h.of(whole)) == 1
+    assert 0.3 < P.likeness(h.of(whole), h.of(half)) < 0.7
+    assert P.likeness(h.of(whole), h.of(other)) < 0.3
+    assert P.likeness(h.of(""), h.of(" ")) < 1
+
+
+@pytest.mark.parametrize("range_rows", [7, 10**6])
+def test_edits(docs, rows, range_rows):
+    got = {r["doc_id"]: r for r in P.with_edits(docs, range_rows=range_rows).collect()}
+    assert len(got) == len(rows)
+    order = sorted((i, t or "") for i, t, *_ in rows)
+    h = P.Hasher()
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + u[:half]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (h.of(t).hex(), h.of(edited).hex())
+        assert r["near_next"] == P.likeness(h.of(t), h.of(u))
+
+
+def test_odd_and_empty(odd, empty, docs):
+    assert P.with_edits(odd, range_rows=5).count() == odd.count()
+    assert P.with_edits(empty).count() == 0
+    assert P.with_edits(docs.limit(1)).first()["near_next"] == 1
+    assert P.fingerprints(docs).count() == docs.count()
