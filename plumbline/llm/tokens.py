@@ -9,7 +9,7 @@ from left to right by start). A character that is no piece itself costs the leas
 bytes; without it, a run of such characters counts as one token.
 
 Words are independent of each other, so that a worker keeps the counts of words it has met. A line feed is in no piece and cuts
-a word in two parts, which are independent as well while scores are whole numbers, whose sums are exact.
+a word in two parts, which are independent as well while scores are whole numbers, whose sums are exact, and bytes stand for unknown characters.
 
 Defined cases: a null or empty text has 0 tokens; a text is counted whole, however long. Rows in, rows out: no shuffle.
 """
@@ -42,7 +42,8 @@ class Unigram:
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.single = {p: s for p, s in pieces if len(p) == 1}
         self.bytes = byte_fallback
-        self.exact = all(float(s).is_integer() for _, s in pieces) and not any("\n" in p for p, _ in pieces)
+        # whether a line feed cuts a word: without byte fallback it could join a run of unknown characters
+        self.cuts = byte_fallback and all(float(s).is_integer() for _, s in pieces) and not any("\n" in p for p, _ in pieces)
         self.kept: dict[str, int] = {}
 
     def part(self, text: str) -> int:
@@ -66,13 +67,6 @@ class Unigram:
                     best[at], count[at], tail[at] = score, count[at - 1] + more, True
         return count[n]
 
-    def word(self, word: str) -> int:
-        if not self.exact or "\n" not in word:
-            return self.part(word)
-        parts = word.split("\n")
-        lines = len(parts) - 1 if self.bytes else sum(1 for i in range(1, len(parts)) if i == 1 or parts[i - 1])
-        return sum(self.known(p) for p in parts if p) + lines
-
     def known(self, part: str) -> int:
         n = self.kept.get(part)
         if n is None:
@@ -89,12 +83,9 @@ class Unigram:
         words = text.replace(" ", SPACE)
         words = (words if words[0] == SPACE else SPACE + words)[1:].split(SPACE)
         for w in words:
-            if "\n" in w:
-                first, _, rest = w.partition("\n")
-                if self.exact and self.bytes:
-                    total += self.known(SPACE + first) + 1 + sum(self.known(p) if p else 0 for p in rest.split("\n")) + rest.count("\n")
-                else:
-                    total += self.word(SPACE + w)
+            if self.cuts and "\n" in w:
+                first, *rest = w.split("\n")
+                total += self.known(SPACE + first) + len(rest) + sum(self.known(p) for p in rest if p)
                 continue
             n = get(w := SPACE + w)
             total += self.known(w) if n is None else n

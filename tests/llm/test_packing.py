@@ -1,0 +1,78 @@
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from plumbline.llm import packing
+
+
+def histogram(sizes):
+    return dict(Counter(int(x) for x in sizes))
+
+
+@pytest.mark.parametrize(
+    ("sizes", "slack"),
+    [
+        (np.random.default_rng(1).integers(1, 65, 3000), 1.02),
+        (np.random.default_rng(2).integers(1, 20, 5000), 1.002),
+        ([33] * 100, 2.0),
+        ([64] * 7 + [1], 1.2),
+        ([20] * 90 + [22] * 90, 1.05),  # best fit alone would need more than 60 sequences of 64
+        ([], 1),
+        ([5], 13),
+    ],
+)
+def test_solve(sizes, slack):
+    h = histogram(sizes)
+    found = packing.solve(h, 64)
+    held = Counter()
+    for kind, n in found:
+        assert n > 0 and sum(kind) <= 64
+        for size in kind:
+            held[size] += n
+    assert held == Counter(h)
+    assert sum(n for _, n in found) <= max(1, math.ceil(sum(sizes) / 64)) * slack
+
+
+def test_knapsack_is_optimal():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        left = {int(s): int(r.integers(1, 4)) for s in r.integers(1, 12, 5)}
+        weights = {s: float(r.random()) for s in left}
+        best = {0: 0.0}
+        for s, n in left.items():
+            for _ in range(n):
+                for room, v in list(best.items()):
+                    if room + s <= 20:
+                        best[room + s] = max(best.get(room + s, 0), v + weights[s])
+        found = packing.price(weights, left, 20)
+        assert sum(s * k for s, k in found.items()) <= 20 and all(k <= left[s] for s, k in found.items())
+        assert abs(sum(weights[s] * k for s, k in found.items()) - max(best.values())) < 1e-9
+
+
+@pytest.mark.parametrize("limit", [16, 2048])
+def test_pack(docs, rows, odd, empty, path, limit):
+    file = path("word_bpe_49k.json")
+    reference = Tokenizer.from_file(file)
+    want = {}
+    for i, text, *_ in rows:
+        ids = np.array([*reference.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        for k in range(0, len(ids), limit):
+            want[i, k // limit] = (k, len(ids[k : k + limit]), zlib.crc32(ids[k : k + limit].tobytes()))
+    out = packing.pack(docs, file, limit).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in out} == want and len(out) == len(want)
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= limit
+    assert len(sequences) <= 1.03 * math.ceil(sum(r["length"] for r in out) / limit) + 1
+    if limit == 2048:
+        assert packing.pack(odd, file).count() >= odd.count() and packing.pack(empty, file).count() == 0
