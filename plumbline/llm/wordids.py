@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from plumbline.llm.shared import worker_memory
 
 #: Words whose ids a worker keeps.
-KEPT = 600_000
+KEPT = 1_000_000
 #: Letters that are their own canonical composition and whose lower case is one letter; punctuation but ' (contractions) and < (special tokens).
 PLAIN = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")
 
@@ -34,6 +34,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
+        self.signs: dict[str, bytes] = {}
         # the short way holds for lower-casing byte-level models with the usual pre-tokens only
         self.short = self.whole("Aé#!") == self.plain("Aé", "#!")
 
@@ -41,15 +42,19 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def plain(self, letters: str, signs: str) -> bytes:
-        ids = []
-        for part in (letters.lower(), signs):
-            if part:
-                ids += [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else "".join([self.letters[b] for b in part.encode()]))]
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        if signs not in self.signs:
+            self.signs[signs] = self.merged(signs) if signs else b""
+        return self.merged(letters.lower()) + self.signs[signs]
+
+    def merged(self, part: str) -> bytes:
+        """Of one pre-token in normal form."""
+        part = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(part)])
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= KEPT:
             self.clear()
+            self.signs.clear()
         text = word.decode("utf-8", "replace")
         m = self.short and PLAIN.fullmatch(text)
         ids = self[word] = self.plain(*m.groups()) if m else self.whole(text)
