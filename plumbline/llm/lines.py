@@ -5,7 +5,7 @@ similarity of their sets of SHINGLE-character shingles is THRESHOLD or more, dir
 
 1. Signatures: shingle hashes of a unit (of a long one some SKETCH least ones) are dealt to BANDS * ROWS bins, of which each keeps its least one
    (one-permutation MinHash); an empty bin takes the value of the next full one. ROWS bins make a band.
-2. Banding: units with an equal band share a bucket. Each is compared with the bucket's least unit first. After these links are merged,
+2. Banding: units with an equal band share a bucket. Each is compared with the bucket's most frequent unit first. After these links are merged,
    whatever isn't in a bucket's largest component is compared with all of the bucket that is in another component: so every pair
    of a bucket is linked, compared, or inside one component, and the pairs inside a large group of copies are never listed.
 3. Verification: the exact Jaccard similarity of the shingle sets of a pair.
@@ -27,20 +27,21 @@ from plumbline.llm.components import components
 from plumbline.llm.shared import let, stored
 
 SHINGLE, THRESHOLD, MIN_CHARS = 8, 0.8, 24
-SKETCH, BANDS, ROWS = 96, 10, 4
+SKETCH, BANDS, ROWS = 80, 10, 4
 
 
 def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(" \t\r")))
 
 
-def shingle(points: Column, i: Column) -> Column:
-    """The hash of the shingle that begins at code point i of a line in UTF-32."""
-    return F.xxhash64(F.substring(points, 4 * i + 1, F.lit(4 * SHINGLE)))
+def shingle(points: Column, byte: Column) -> Column:
+    """The hash of the shingle that begins at a byte (from 1) of a line in UTF-32."""
+    return F.xxhash64(F.substring(points, byte, F.lit(4 * SHINGLE)))
 
 
 def starts(line: Column) -> Column:
-    return F.sequence(F.lit(0), F.char_length(line) - SHINGLE)
+    """The bytes where shingles begin."""
+    return F.sequence(F.lit(1), 4 * (F.char_length(line) - SHINGLE) + 1, F.lit(4))
 
 
 def shingles(line: Column) -> Column:
@@ -67,15 +68,15 @@ def bands(line: Column) -> Column:
 
     def least(points: Column) -> Column:
         chosen = let(most, lambda m: F.filter(starts(line), lambda i: shingle(points, i) <= m))
-        some = let(chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(0))))
-        return F.sort_array(F.transform(some, lambda i: turned(shingle(points, i))))
+        some = let(chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(1))))
+        return F.transform(F.sort_array(F.transform(some, lambda i: turned(shingle(points, i)))), lambda x: F.struct(bin_of(x).alias("bin"), x.alias("v")))
 
     def first_of_bins(y: Column) -> Column:
-        return F.filter(y, lambda x, i: (i == 0) | (bin_of(F.get(y, i - 1)) != bin_of(x)))
+        return F.filter(y, lambda x, i: (i == 0) | (F.get(y, i - 1)["bin"] != x["bin"]))
 
     def filled(e: Column) -> Column:
-        before = F.flatten(F.transform(e, lambda x, i: F.array_repeat(x, bin_of(x) - F.when(i == 0, -1).otherwise(bin_of(F.get(e, i - 1))))))
-        return F.concat(before, F.array_repeat(F.get(e, F.lit(0)), bins - 1 - bin_of(F.element_at(e, -1))))
+        before = F.flatten(F.transform(e, lambda x, i: F.array_repeat(x["v"], x["bin"] - F.when(i == 0, -1).otherwise(F.get(e, i - 1)["bin"]))))
+        return F.concat(before, F.array_repeat(F.get(e, F.lit(0))["v"], bins - 1 - F.element_at(e, -1)["bin"]))
 
     def keys(s: Column) -> Column:
         return F.array(*(F.xxhash64(F.lit(j), *(F.get(s, F.lit(j * ROWS + k)) for k in range(ROWS))) for j in range(BANDS)))
@@ -111,22 +112,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = seen.groupBy("unit").agg(first, F.count("*").alias("n"), (F.min("check") != F.max("check")).alias("mixed"), F.first("bands").alias("bands"))
     units = stored(units.where("not mixed").drop("mixed"), "line-units")
 
-    keyed = units.select("unit", F.explode("bands").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("unit").alias("least"), F.count("*").alias("size")).where("size > 1")
-    members = stored(keyed.join(several, "key"), "line-buckets")
+    keyed = units.select("unit", "n", F.explode("bands").alias("key"))
+    # the line that others are variants of is likely the one that occurs most often
+    several = keyed.groupBy("key").agg(F.max_by("unit", "n").alias("chief"), F.count("*").alias("size")).where("size > 1")
+    members = stored(keyed.drop("n").join(several, "key"), "line-buckets")
     needed = members.select("unit").distinct().join(units.select("unit", "first"), "unit").select(F.col("first.row").alias("row"), F.struct(F.col("first.number").alias("number"), "unit").alias("x"))
     needed = needed.groupBy("row").agg(F.collect_list("x").alias("wanted"))  # at most a document's lines
     found = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).join(needed, "row").withColumn("parts", F.split("text", "\n"))
     texts = found.select("parts", F.explode("wanted").alias("x")).select("x.unit", normal(F.get("parts", F.col("x.number"))).alias("line")).dropDuplicates(["unit"])
     texts = stored(texts, "line-texts")
 
-    starred = stored(verified(members.where("unit <> least").select(F.col("unit").alias("a"), F.col("least").alias("b")).distinct(), texts, threshold), "line-links")
+    starred = stored(verified(members.where("unit <> chief").select(F.col("unit").alias("a"), F.col("chief").alias("b")).distinct(), texts, threshold), "line-links")
     linked = components(starred).withColumnRenamed("node", "unit")
     inside = members.where("size > 2").join(linked, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    inside = stored(inside.select("key", "unit", "least", "component"), "line-components")
+    inside = stored(inside.select("key", "unit", "chief", "component"), "line-components")
     largest = inside.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    outer = inside.join(largest, "key").where("component <> largest and unit <> least").select("key", F.col("unit").alias("a"), F.col("component").alias("ca"))
-    pairs = outer.join(inside.where("unit <> least").select("key", F.col("unit").alias("b"), F.col("component").alias("cb")), "key").where("ca <> cb")
+    outer = inside.join(largest, "key").where("component <> largest and unit <> chief").select("key", F.col("unit").alias("a"), F.col("component").alias("ca"))
+    pairs = outer.join(inside.where("unit <> chief").select("key", F.col("unit").alias("b"), F.col("component").alias("cb")), "key").where("ca <> cb")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = stored(verified(pairs, texts, threshold), "line-links")
 
