@@ -6,8 +6,8 @@ similarity of their sets of SHINGLE-character shingles is THRESHOLD or more, dir
 1. Signatures: shingle hashes of a unit (of a long one some SKETCH least ones) are dealt to BANDS * ROWS bins, of which each keeps its least one
    (one-permutation MinHash); an empty bin takes the value of the next full one. ROWS bins make a band.
 2. Banding: units with an equal band share a bucket. Each is compared with the bucket's most frequent unit first. After these links are merged,
-   whatever isn't in a bucket's largest component is compared with all of the bucket that is in another component: so every pair
-   of a bucket is linked, compared, or inside one component, and the pairs inside a large group of copies are never listed.
+   whatever isn't in a bucket's largest component is compared, block by block, with all of the bucket that is in another component: so
+   every pair of a bucket is linked, compared, or inside one component, and no pairs are listed but links.
 3. Verification: the exact Jaccard similarity of the shingle sets of a pair.
 4. Union: distributed connected components; of each the first line by doc_id, then row, then line stays.
 
@@ -28,6 +28,8 @@ from plumbline.llm.shared import let, stored
 
 SHINGLE, THRESHOLD, MIN_CHARS = 8, 0.8, 24
 SKETCH, BANDS, ROWS = 80, 10, 4
+#: Lines that are compared with twice as many others in one row.
+BLOCK = 32
 
 
 def normal(line: Column) -> Column:
@@ -103,6 +105,35 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.where(jaccard(shingles(F.col("line_a")), shingles(F.col("line_b"))) >= threshold).select("a", "b")
 
 
+def blocks(members: DataFrame, counts: DataFrame, texts: DataFrame, size: int, name: str) -> DataFrame:
+    """key and an array of some `size` of a bucket's members, with their lines. counts: how many a key has."""
+    rows = members.join(counts, "key").join(texts, "unit").withColumn("part", F.pmod(F.xxhash64("unit"), F.ceil(F.col("count") / size)))
+    return rows.groupBy("key", "part").agg(F.collect_list(F.struct("unit", "component", "outer", "bands", "line")).alias(name)).drop("part")
+
+
+def cross_links(inside: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the components inside each bucket.
+
+    A member outside the bucket's largest component is compared with all members of other components, block by block: a row holds two blocks, whose shingle
+    sets are made once, and gives its links only. A pair of several common buckets is compared in the first.
+    """
+    largest = inside.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    members = stored(inside.where("unit <> chief").join(largest, "key").select("key", "unit", "component", (F.col("component") != F.col("largest")).alias("outer")), "line-members")
+    outer = members.where("outer")
+    n_outer = outer.groupBy("key").count()
+    n_all = members.join(n_outer.select("key"), "key", "left_semi").groupBy("key").count()
+    pairs = blocks(outer, n_outer, texts, BLOCK, "xs").join(blocks(members, n_all, texts, 2 * BLOCK, "ys"), "key")
+    sets = lambda c: F.transform(c, lambda x: F.struct(x["unit"].alias("unit"), x["component"].alias("component"), x["outer"].alias("outer"), F.slice(x["bands"], 1, F.array_position(x["bands"], F.col("key")).cast("int") - 1).alias("before"), shingles(x["line"]).alias("s")))
+
+    def alike(x: Column, y: Column) -> Column:
+        m, n = F.size(x["s"]), F.size(y["s"])
+        new = (x["component"] != y["component"]) & (~y["outer"] | (x["unit"] < y["unit"])) & (F.least(m, n) >= threshold * F.greatest(m, n)) & ~F.arrays_overlap(x["before"], y["before"])
+        return F.when(new, jaccard(x["s"], y["s"]) >= threshold).otherwise(False)
+
+    found = let(sets(F.col("ys")), lambda ys: F.flatten(F.transform(sets(F.col("xs")), lambda x: F.transform(F.filter(ys, lambda y: alike(x, y)), lambda y: F.struct(x["unit"].alias("a"), y["unit"].alias("b"))))))
+    return pairs.select(F.explode(found).alias("x")).select("x.*")
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """row (see row_key) and lines: the sorted numbers of its lines that repeat another line that stays."""
     seen = all_lines(docs, id_col, text_col).select("doc", "row", "number", F.xxhash64("line").alias("unit"), F.xxhash64(F.lit(1), "line").alias("check"), bands(F.col("line")).alias("bands"))
@@ -116,21 +147,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the line that others are variants of is likely the one that occurs most often
     several = keyed.groupBy("key").agg(F.max_by("unit", "n").alias("chief"), F.count("*").alias("size")).where("size > 1")
     members = stored(keyed.drop("n").join(several, "key"), "line-buckets")
-    needed = members.select("unit").distinct().join(units.select("unit", "first"), "unit").select(F.col("first.row").alias("row"), F.struct(F.col("first.number").alias("number"), "unit").alias("x"))
+    needed = members.select("unit").distinct().join(units.select("unit", "first", "bands"), "unit").select(F.col("first.row").alias("row"), F.struct(F.col("first.number").alias("number"), "unit", "bands").alias("x"))
     needed = needed.groupBy("row").agg(F.collect_list("x").alias("wanted"))  # at most a document's lines
     found = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).join(needed, "row").withColumn("parts", F.split("text", "\n"))
-    texts = found.select("parts", F.explode("wanted").alias("x")).select("x.unit", normal(F.get("parts", F.col("x.number"))).alias("line")).dropDuplicates(["unit"])
+    texts = found.select("parts", F.explode("wanted").alias("x")).select("x.unit", "x.bands", normal(F.get("parts", F.col("x.number"))).alias("line")).dropDuplicates(["unit"])
     texts = stored(texts, "line-texts")
 
     starred = stored(verified(members.where("unit <> chief").select(F.col("unit").alias("a"), F.col("chief").alias("b")).distinct(), texts, threshold), "line-links")
     linked = components(starred).withColumnRenamed("node", "unit")
     inside = members.where("size > 2").join(linked, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     inside = stored(inside.select("key", "unit", "chief", "component"), "line-components")
-    largest = inside.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    outer = inside.join(largest, "key").where("component <> largest and unit <> chief").select("key", F.col("unit").alias("a"), F.col("component").alias("ca"))
-    pairs = outer.join(inside.where("unit <> chief").select("key", F.col("unit").alias("b"), F.col("component").alias("cb")), "key").where("ca <> cb")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = stored(verified(pairs, texts, threshold), "line-links")
+    more = stored(cross_links(inside, texts, threshold), "line-links")
 
     linked = components(starred.union(more)).withColumnRenamed("node", "unit")
     grouped = units.select("unit", "first", "n").join(linked, "unit", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "unit"))
