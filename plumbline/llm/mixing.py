@@ -148,8 +148,9 @@ def mix(docs: DataFrame, *, narrow: DataFrame | None = None, cycle: list[float]
     rows = placed(docs).join(blocks, ["source_no", "block"], "left")
     before = Window.partitionBy("source_no", "block").orderBy(F.xxhash64(F.lit(seed + 3), "id"), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
-    part = F.coalesce(F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("start"))), F.lit(0))
-    rows = rows.withColumn("part", F.when(F.col("size") > 0, part).otherwise(0))
+    part = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("start")))
+    # a block that isn't drawn has no start, and least() passes over nulls
+    rows = rows.withColumn("part", F.when((F.col("size") > 0) & F.col("start").isNotNull(), part).otherwise(0))
     rows = rows.withColumn("taken", F.when(F.col("size") > 0, F.col("copies") * F.col("size") + F.col("part")).otherwise(0).cast("long"))
     one = lambda x: F.struct(x["copy"].alias("copy"), F.when(x["copy"] < F.col("copies"), F.col("size")).otherwise(F.col("part")).cast("long").alias("words"), x["shard"].alias("shard"), F.xxhash64(F.lit(seed + 4), x["shard"], x["copy"], F.col("id")).alias("place"))
     drawn = F.filter(F.transform(F.coalesce("shards", F.array().cast("array<struct<copy:bigint,shard:bigint>>")), one), lambda x: x["words"] > 0)

@@ -52,6 +52,14 @@ def test_mix(docs, rows, options):
     assert sorted(map(str, again)) == sorted(map(str, out))
 
 
+def test_blocks_not_drawn_count_nothing(spark):
+    """A source of many blocks whose target is far below its size."""
+    df = spark.range(400).select(F.struct("id").alias("row"), "id", F.lit("a").alias("source"), F.lit(10).cast("long").alias("size"))
+    out = mixing.mix(df, share=0.25, block_words=50).collect()
+    assert sum(r["taken"] for r in out) == 1000 and sum(not r["draws"] for r in out) > 200
+    assert all(r["taken"] == sum(d["words"] for d in r["draws"]) for r in out)
+
+
 def test_tree_is_exact(spark):
     quotas = [100, 37, 0, 1, 262]
     total, shards = sum(quotas), 13
