@@ -36,6 +36,23 @@ def test_spans(text, found):
     assert [f"{k}:{a}:{b}" for k, a, b, _ in pii.find(text)] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("GB82 WEST 1234 5698 7654 32 BIC NWBKGB2L", ["iban:0:27"]),
+        ("GB82 WEST 1234 5698 7654 32 EUR 500", ["iban:0:27"]),
+        ("DE89370400440532013000 OR", ["iban:0:22"]),
+        ("GB82WEST12345698765432 5 days", ["iban:0:22"]),
+        ("NR AB12 GB82WEST12345698765432 DE89370400440532013000", ["iban:8:30", "iban:31:53"]),
+        ("ZZ33WEST12345698765432 EUR", ["iban:0:22"]),
+        ("GB82WEST1234569876543201 5 days", []),
+        ("GB82WEST12345698765433 5 days", []),
+    ],
+)
+def test_ibans_before_other_words(text, found):
+    assert [f"{k}:{a}:{b}" for k, a, b, _ in pii.find(text) if k == "iban"] == found
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 300_000, "a.@" * 60_000, "1 " * 100_000, "+" + "1" * 200_000, "1." * 100_000):
         pii.find(text)
