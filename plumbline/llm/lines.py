@@ -3,7 +3,7 @@
 A line is compared trimmed and in lower case; lines of under MIN_CHARS code points always stay. Equal lines are one unit. Units are alike if the Jaccard
 similarity of their sets of SHINGLE-character shingles is THRESHOLD or more, directly or through others:
 
-1. Signatures: shingle hashes of a unit (of a long one some SKETCH least ones) are dealt to BANDS * ROWS bins, of which each keeps its least one
+1. Signatures: all shingle hashes of a unit are dealt to BANDS * ROWS bins, of which each keeps its least one
    (one-permutation MinHash); an empty bin takes the value of the next full one. ROWS bins make a band.
 2. Banding: units with an equal band share a bucket. Each is compared with the bucket's most frequent unit first. After these links are merged,
    whatever isn't in a bucket's largest component is compared, block by block, with all of the bucket that is in another component: so
@@ -27,7 +27,7 @@ from plumbline.llm.components import components
 from plumbline.llm.shared import let, stored
 
 SHINGLE, THRESHOLD, MIN_CHARS = 8, 0.8, 24
-SKETCH, BANDS, ROWS = 80, 10, 4
+BANDS, ROWS = 10, 4
 #: Lines that are compared with twice as many others in one row.
 BLOCK = 32
 
@@ -59,22 +59,19 @@ def jaccard(a: Column, b: Column) -> Column:
 def bands(line: Column) -> Column:
     """BANDS hashes of a line's signature.
 
-    Of a long line's shingles those with the least hashes count, some SKETCH of them: a bin's least value is nearly always among them. The halves of a
-    hash change places, so that what decides the bin isn't what decided who is here; sorted by it, bins are runs.
+    All shingles count: a choice of them by the line's own length would lose shingles that a longer or shorter line keeps. The halves of a hash change
+    places; sorted by it, bins are runs.
     """
     bins = BANDS * ROWS
-    n = F.char_length(line) - SHINGLE + 1
-    most = F.when(n <= SKETCH, 2**63 - 1).otherwise((F.lit(-(2.0**63)) + F.lit(SKETCH * 2.0**64) / n).cast("long"))
     turned = lambda x: F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32))
     bin_of = lambda x: F.shiftright((F.shiftright(x, 40) + (1 << 23)) * bins, 24).cast("int")
 
     def least(points: Column) -> Column:
-        chosen = let(most, lambda m: F.filter(starts(line), lambda i: shingle(points, i) <= m))
-        some = let(chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(1))))
-        return F.transform(F.sort_array(F.transform(some, lambda i: turned(shingle(points, i)))), lambda x: F.struct(bin_of(x).alias("bin"), x.alias("v")))
+        return F.sort_array(F.transform(starts(line), lambda i: turned(shingle(points, i))))
 
     def first_of_bins(y: Column) -> Column:
-        return F.filter(y, lambda x, i: (i == 0) | (F.get(y, i - 1)["bin"] != x["bin"]))
+        first = F.filter(y, lambda x, i: (i == 0) | (bin_of(F.get(y, i - 1)) != bin_of(x)))
+        return F.transform(first, lambda x: F.struct(bin_of(x).alias("bin"), x.alias("v")))
 
     def filled(e: Column) -> Column:
         before = F.flatten(F.transform(e, lambda x, i: F.array_repeat(x["v"], x["bin"] - F.when(i == 0, -1).otherwise(F.get(e, i - 1)["bin"]))))

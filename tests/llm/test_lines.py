@@ -101,3 +101,14 @@ def test_odd_and_empty(odd, empty):
     out = lines.drop_repeated_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert lines.line_report(empty).count() == 0
+
+
+def test_a_line_inside_a_longer_one_shares_a_band(spark):
+    """Pairs of Jaccard 0.8, 400 of 500 shingles, where one line begins the other."""
+    r = random.Random(7)
+    pairs = []
+    for _ in range(400):
+        s = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(499 + lines.SHINGLE))
+        pairs.append((s, s[: 399 + lines.SHINGLE]))
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    assert df.where(F.arrays_overlap(lines.bands(F.col("a")), lines.bands(F.col("b")))).count() >= 392
