@@ -52,7 +52,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def groups(values, linked):
 
 def test_near_duplicates(docs, rows):
     fps = {i: brute_fingerprint(t) for i, t, *_ in rows}
-    got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    got = {r["doc_id"]: (r["fp0"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     want = groups(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
     assert got == {i: (fps[i], want[i]) for i in fps}
 
@@ -48,7 +49,7 @@ def clustered(n, seed):
 def test_links_are_whole(spark):
     f = clustered(700, 2)
     f = np.unique(np.concatenate([f, f[:50] ^ np.uint64(0b1111), f[:50] ^ np.uint64((1 << 63) | (1 << 40) | (1 << 20) | 1)]))
-    df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(int(x), int(x)) for x in f.view(np.int64)], "node long, fp0 long")
     near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 4
     label = np.arange(len(f))
     while True:
@@ -61,28 +62,103 @@ def test_links_are_whole(spark):
         want.setdefault(k, set()).add(int(f[i]))
     for max_bucket in (8192, 40):  # the second cuts buckets into chunks
         found = {}
-        for r in components(simhash.links(df, max_bucket=max_bucket)).collect():
+        for r in components(simhash.links(df, simhash.block_masks(4), 4, max_bucket)).collect():
             found.setdefault(r["component"], set()).add(r["node"] % 2**64)
         assert sorted(map(sorted, found.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
 
 
+def ranked(f):
+    """Rows of words in order of Gray rank."""
+    ranks, carry = [], np.zeros(len(f), np.uint64)
+    for word in f.T:
+        x = word.copy()
+        for s in (1, 2, 4, 8, 16, 32):
+            x ^= x >> np.uint64(s)
+        x ^= np.uint64(0) - carry
+        carry = x & np.uint64(1)
+        ranks.append(x)
+    return f[np.lexsort(ranks[::-1])]
+
+
 def test_gray_order(spark):
-    ranks = spark.range(64).select((F.col("id").bitwiseXOR(F.shiftright("id", 1))).alias("code"), "id").select(simhash.gray_rank(F.col("code")).alias("rank"), "id").collect()
-    assert all(r["rank"] == r["id"] for r in ranks)
+    """Numbers of three words of two bits, as the six bits of a Gray code."""
+    code = lambda shift: F.shiftright(F.col("id").bitwiseXOR(F.shiftright("id", 1)), shift).bitwiseAND(F.lit(3).cast("long"))
+    ranks = spark.range(64).select("id", *simhash.gray_ranks([code(4), code(2), code(0)])).collect()
+    assert all([x % 4 for x in r[1:]] == [r["id"] >> 4, r["id"] >> 2 & 3, r["id"] & 3] for r in ranks)
 
 
-def test_index_finds_all_pairs():
-    f = clustered(3000, 4)
-    x = f.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        x ^= x >> np.uint64(s)
-    f = f[np.argsort(x)]
-    index, found = simhash.GrayIndex(f), set()
+@pytest.mark.parametrize(("words", "most"), [(1, 4), (4, 44)])
+def test_index_finds_all_pairs(words, most):
+    f = ranked(clustered(3000, 4)[:, None] if words == 1 else wide(3000, 5))
+    index = simhash.GrayIndex(f, np.array([0, 1700]), np.array([1700, len(f)]))
+    found = set()
     for a in range(0, len(f), 200):
-        i, j = index.pairs(a, min(len(f), a + 200), 4)
+        q = np.arange(a, min(len(f), a + 200))
+        i, j = index.pairs(q, (q >= 1700).astype(int), most, np.arange(len(f)))
         found |= set(zip(i.tolist(), j.tolist(), strict=True))
-    want = np.argwhere(np.triu(np.bitwise_count(f[:, None] ^ f[None, :]) <= 4, 1))
-    assert found == set(map(tuple, want.tolist()))
+    near = np.bitwise_count(f[:, None] ^ f[None, :]).sum(axis=2) <= most
+    near[:1700, 1700:] = False
+    want = np.argwhere(np.triu(near, 1))
+    assert len(want) > 100 and found == set(map(tuple, want.tolist()))
+
+
+def wide(n, seed):
+    """Fingerprints of four words, in families."""
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 2**64, (n // 30, 4), dtype=np.uint64)[r.integers(0, n // 30, n)]
+    flips = np.packbits(r.random((n, 256)) < r.choice([0.0, 0.05, 0.15], n)[:, None], axis=1).view(np.uint64)
+    return base ^ flips
+
+
+def test_forest_of_many_groups():
+    """Groups of one to some thousand fingerprints: the components are those of all pairs, and linked fingerprints are pruned."""
+    f = wide(6000, 8)
+    sizes = [1, 2, 2, 3, 1, 20, 200, 16, 17, 128, 129, 3000]
+    sizes.append(len(f) - sum(sizes))
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    f = np.concatenate([ranked(f[group == g]) for g in range(len(sizes))])
+    a, b = simhash.forest(group, f, 44)
+    got = np.arange(len(f))
+    got[a] = b
+    near = (np.bitwise_count(f[:, None, 0] ^ f[None, :, 0]) <= 44) & (group[:, None] == group[None, :])
+    near[near] = np.bitwise_count(f[np.nonzero(near)[0]] ^ f[np.nonzero(near)[1]]).sum(axis=1) <= 44
+    label = np.arange(len(f))
+    while True:
+        new = np.array([label[row].min() for row in near])
+        if (new == label).all():
+            break
+        label = new
+    assert (got == label).all() and len(a) > 3000
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_every_search_goes_through_the_index(monkeypatch, similarity):
+    seen = []
+    real = simhash.GrayIndex.pairs
+    monkeypatch.setattr(simhash.GrayIndex, "pairs", lambda self, q, *a: seen.append(len(q)) or real(self, q, *a))
+    f = wide(500, 3) if similarity else clustered(500, 3)[:, None]
+    group = np.sort(np.random.default_rng(1).integers(0, 60, len(f)))
+    simhash.forest(group, f, 44 if similarity else 4)
+    assert sum(seen) == sum(n for n in np.bincount(group) if n > 1)
+
+
+def test_recall_by_similarity(spark):
+    """Of pairs with a five-word Jaccard similarity of 0.9 and more nearly all link, of those under 0.6 hardly any."""
+    r = random.Random(3)
+    texts, want = [], []
+    for k, edits in enumerate([1, 3, 6, 25] * 60):
+        words = [f"{r.choice('abcdefgh')}{r.randint(0, 9999)}" for _ in range(300)]
+        other = list(words)
+        for at in r.sample(range(300), edits):
+            other[at] = "new"
+        a, b = ({tuple(x[i : i + 5]) for i in range(296)} for x in (words, other))
+        want.append(len(a & b) / len(a | b))
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    found = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), width=5, similarity=0.8).collect()}
+    linked = [found[2 * k] == found[2 * k + 1] for k in range(len(want))]
+    high, low = ([x for x, j in zip(linked, want, strict=True) if test(j)] for test in (lambda j: j >= 0.9, lambda j: j < 0.6))
+    assert len(high) >= 100 and sum(high) >= 0.98 * len(high) and len(low) >= 50 and sum(low) <= 0.05 * len(low)
+    assert all(found[i] // 2 == i // 2 for i in found)
 
 
 def test_components(spark):
@@ -104,3 +180,12 @@ def test_keep_one(docs, rows, odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(odd).count() == odd.count()
+
+
+def test_unlike_texts_stay_whatever_their_ids(spark):
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(60)) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[3]), (8, texts[2])]
+    for options in ({}, {"width": 5, "similarity": 0.8}):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])])
