@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates, by shingles of five words and a similarity of 0.8, the document with the smallest doc_id."""
+    return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
