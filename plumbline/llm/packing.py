@@ -4,10 +4,13 @@ Documents longer than a sequence are cut; the pieces' lengths make a histogram w
 whatever the number of documents. Over that histogram:
 
 1. Multiplicative weights solve the configuration program (least number of sequences such that each length is covered as often as it occurs).
-   Each length has a weight that shrinks as its demand is covered; a knapsack dynamic program prices: it finds the set of lengths that fills one
-   sequence with the highest weight. The set is used for a step, as many sequences as a share of its scarcest demand.
-2. Rounding: every set is used a whole number of times, never beyond what is left of its lengths.
-3. What is left (for many documents a small share) is packed best-fit, longest first, on the histogram as well.
+   Each length has a weight, its price, that starts near its share of a sequence, a little higher for longer ones, which fit fewer sets. In a round a knapsack
+   dynamic program prices: one table gives for every length with demand left the set of lengths, it among them, that fills one sequence with the highest weight. Of the
+   sets worth nearly as much as the best, the best filled are asked for, each for half of what is left of its length; a set gets what its scarcest length
+   allows. Then a length's weight is multiplied: up by how far its coverage lags behind the whole, down while more of it is asked for than is left, so that
+   the next round's sets turn to other lengths. Rounds end when the program covers all but GAP of the tokens, or after ROUNDS.
+2. Rounding: sets, most used first, are used a whole number of times, rounded up, never beyond what is left of their lengths.
+3. What is left (tests have how little: some tenth of the pieces, under 5 % of the tokens) is packed best-fit, longest first, on the histogram as well.
 
 The plan has a row for each set and place in it. A piece finds its place by its rank among the pieces of its length: its rank inside
 the task that cut it plus the counts of the tasks before, from a table with a row for each task and length.
@@ -18,6 +21,7 @@ doc_id); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -32,18 +36,24 @@ from plumbline.llm.shared import stored
 from plumbline.llm.wordids import word_ids
 
 LIMIT = 2048
-#: Pricing rounds of the program, the share of the scarcest demand that a step covers, and how fast covered lengths lose weight.
-ROUNDS, STEP, RATE = 200, 0.5, 4.0
+#: Rounds of the program at most, and the share of the tokens that it may leave.
+ROUNDS, GAP = 400, 0.01
+#: Of the weights: what the longest length has more by, how far a lag may raise or lower one (as a logarithm), and the rate for lengths that are asked for too often.
+#: NEAR: how much less than the best set's worth is as good.
+LONGER, LAG, RATE, NEAR = 0.05, 2.0, 0.25, 0.05
 
 #: A set of lengths, ascending, and how many sequences hold it.
 Pattern = tuple[tuple[int, ...], int]
+#: A set as (length, times).
+Set = tuple[tuple[int, int], ...]
 
 
-def price(weights: dict[int, float], left: dict[int, int], limit: int) -> dict[int, int]:
-    """The knapsack: how often to take each length so that they fit into limit, none beyond left, with the highest weight."""
+def price(weights: np.ndarray, bound: np.ndarray, limit: int, first: np.ndarray) -> tuple[list[Set], np.ndarray]:
+    """The knapsack. For each length in `first` the set that has it and fits into limit with the highest weight, besides it none oftener than bound
+    says, and what room the set leaves."""
     items = []
-    for size, n in left.items():
-        n, k = min(n, limit // size), 1
+    for size in np.flatnonzero(bound[: limit + 1]).tolist():
+        n, k = min(int(bound[size]), limit // size), 1
         while n > 0:
             k = min(k, n)
             items.append((size, k))
@@ -53,43 +63,70 @@ def price(weights: dict[int, float], left: dict[int, int], limit: int) -> dict[i
     for i, (size, k) in enumerate(items):
         total = size * k
         new = best[: limit + 1 - total] + k * weights[size]
-        better = new > best[total:]
-        taken[i, total:] = better
-        best[total:] = np.where(better, new, best[total:])
-    out: dict[int, int] = {}
-    room = int(best.argmax())
+        np.greater(new, best[total:], out=taken[i, total:])
+        np.maximum(best[total:], new, out=best[total:])
+    room = limit - first
+    sets = [{size: 1} for size in first.tolist()]
     for i in range(len(items) - 1, -1, -1):
-        if taken[i, room]:
-            size, k = items[i]
-            out[size] = out.get(size, 0) + k
-            room -= size * k
-    return out
-
-
-def fractional(histogram: dict[int, int], limit: int, rounds: int) -> dict[tuple[tuple[int, int], ...], float]:
-    """Sets, as (length, times), with how many sequences of each the program uses. Coverage never passes a demand, so that rounding down is
-    always possible."""
-    covered = dict.fromkeys(histogram, 0.0)
-    used: dict[tuple[tuple[int, int], ...], float] = {}
+        hit = np.flatnonzero(taken[i, room])
+        size, k = items[i]
+        room[hit] -= size * k
+        for p in hit.tolist():
+            sets[p][size] = sets[p].get(size, 0) + k
+    return [tuple(sorted(x.items())) for x in sets], room
+
+
+def fractional(histogram: dict[int, int], limit: int, rounds: int) -> dict[Set, float]:
+    """Sets with how many sequences of each the program uses. Coverage never passes a demand."""
+    demand = np.zeros(limit + 1)
+    for size, n in histogram.items():
+        demand[size] = n
+    tokens = np.arange(limit + 1.0)
+    base = tokens / limit * (1 + LONGER * tokens / limit)
+    covered, lag, over = np.zeros((3, limit + 1))
+    used: dict[Set, float] = {}
     for _ in range(rounds):
-        left = {s: n - covered[s] for s, n in histogram.items()}
-        open_ = {s: int(n) for s, n in left.items() if n >= 1}
-        if not open_:
+        left = demand - covered
+        open_ = np.flatnonzero(left > 1e-6 * demand)
+        if tokens @ left <= GAP * (tokens @ demand):
             break
-        # a length's own size is nearly its dual price; long pieces, which fit few sets, count for more and covered ones for less
-        weights = {s: s * (1 + 0.1 * s / limit + 0.05 * np.exp(-RATE * covered[s] / histogram[s])) for s in open_}
-        found = price(weights, open_, limit)
-        if not found:
-            break
-        step = max(1.0, STEP * min(left[s] / k for s, k in found.items()))
-        step = min([step, *(left[s] / k for s, k in found.items())])
-        for s, k in found.items():
-            covered[s] += step * k
-        key = tuple(sorted(found.items()))
-        used[key] = used.get(key, 0.0) + step
+        share = np.divide(covered, demand, out=np.zeros(limit + 1), where=demand > 0)
+        lag = np.clip(lag + (tokens @ covered) / (tokens @ demand) - share, -LAG, LAG)
+        weights = base * np.exp(lag)
+        bound = np.zeros(limit + 1)
+        bound[open_] = np.maximum(1, np.floor(left[open_]))
+        sets, room = price(weights * np.exp(-RATE * over), bound, limit, open_)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        size, times = (np.array([y[i] for x in sets for y in x]) for i in (0, 1))
+        worth = np.bincount(owner, times * weights[size], len(sets))
+        fine = worth >= (1 - NEAR) * worth.max()
+        asked = np.where(fine & (room == room[fine].min()), left[open_] / 2, 0)
+        use = np.bincount(size, times * asked[owner], limit + 1)
+        over = over / 2 + np.minimum(np.divide(use, left, out=np.zeros(limit + 1), where=left > 0), 4) / 4
+        given = np.zeros(len(sets))
+        for part in (1.0, 0.5, 0.5, 0.5):  # what the scarcest lengths held back is offered again
+            held = np.divide(np.maximum(0, left - np.bincount(size, times * given[owner], limit + 1)), use, out=np.zeros(limit + 1), where=use > 0)
+            least = np.ones(len(sets))
+            np.minimum.at(least, owner, held[size])
+            given += part * asked * least
+        covered = np.minimum(demand, covered + np.bincount(size, times * given[owner], limit + 1))
+        for k in np.flatnonzero(given > 1e-3).tolist():
+            used[sets[k]] = used.get(sets[k], 0.0) + float(given[k])
     return used
 
 
+def rounded(histogram: dict[int, int], used: dict[Set, float]) -> tuple[list[Pattern], dict[int, int]]:
+    """The program's sets a whole number of times each, and what they leave of the histogram."""
+    left, out = dict(histogram), []
+    for key, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+        n = min([math.ceil(times - 1e-9), *(left[s] // k for s, k in key)])
+        if n > 0:
+            out.append((tuple(s for s, k in key for _ in range(k)), n))
+            for s, k in key:
+                left[s] -= n * k
+    return out, {s: n for s, n in left.items() if n}
+
+
 def best_fit(left: dict[int, int], limit: int) -> list[Pattern]:
     """Longest first, each into the fullest sequence that still holds it, for all pieces of a length at once."""
     groups: dict[int, list[list]] = {}  # room left: (set, number of sequences)
@@ -131,17 +168,10 @@ def best_fit(left: dict[int, int], limit: int) -> list[Pattern]:
 
 def solve(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -> list[Pattern]:
     """Sets of lengths and how many sequences hold each; together they hold exactly the histogram."""
-    left = dict(histogram)
-    out: list[Pattern] = []
-    if limit in left:  # alone in any solution
-        out.append(((limit,), left.pop(limit)))
-    for key, times in sorted(fractional(left, limit, rounds).items(), key=lambda x: -x[1]):
-        n = min([int(times + 1e-9), *(left[s] // k for s, k in key)])
-        if n > 0:
-            out.append((tuple(s for s, k in key for _ in range(k)), n))
-            for s, k in key:
-                left[s] -= n * k
-    return out + best_fit({s: n for s, n in left.items() if n}, limit)
+    rest = dict(histogram)
+    full = rest.pop(limit, 0)  # alone in any solution
+    out, left = rounded(rest, fractional(rest, limit, rounds))
+    return [((limit,), full)] * (full > 0) + out + best_fit(left, limit)
 
 
 def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -197,7 +227,8 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, rounds: int =
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     before = counts.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = pieces.join(before, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
-    plan = docs.sparkSession.sparkContext.broadcast(found)  # a few runs for each length, whatever the number of documents
+    # at most a run for each set and length in it: the sets are bounded by the lengths and the rounds, whatever the number of documents
+    plan = docs.sparkSession.sparkContext.broadcast(found)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

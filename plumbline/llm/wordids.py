@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 
 from plumbline.llm.shared import worker_memory
 
-#: Words whose ids a worker keeps.
-KEPT = 1_000_000
+#: Bytes that a generation of words and their ids may take in a worker, which keeps two, and what one takes besides its letters and ids.
+KEPT_BYTES, ENTRY_BYTES = 24 << 20, 180
 #: Letters that are their own canonical composition and whose lower case is one letter; punctuation but ' (contractions) and < (special tokens).
 PLAIN = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")
 
@@ -28,10 +28,14 @@ def byte_letters() -> list[str]:
 
 
 class WordIds(dict):
-    """The ids of words (bytes to bytes, little-endian unsigned 32-bit numbers), worked out when first asked for."""
+    """The ids of words (bytes to bytes, little-endian unsigned 32-bit numbers), worked out when first asked for.
 
-    def __init__(self, path: str) -> None:
+    When the words take KEPT_BYTES they become the elder generation, from which those that are met again come back, and the elder ones before are forgotten.
+    """
+
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES) -> None:
         super().__init__()
+        self.kept_bytes, self.bytes, self.elder = kept_bytes, 0, {}
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
         self.signs: dict[str, bytes] = {}
@@ -52,12 +56,17 @@ class WordIds(dict):
         return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(part)])
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KEPT:
+        ids = self.elder.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "replace")
+            m = self.short and PLAIN.fullmatch(text)
+            ids = self.plain(*m.groups()) if m else self.whole(text)
+        self.bytes += len(word) + len(ids) + ENTRY_BYTES
+        if self.bytes >= self.kept_bytes:
+            self.elder, self.bytes = dict(self), 0
             self.clear()
             self.signs.clear()
-        text = word.decode("utf-8", "replace")
-        m = self.short and PLAIN.fullmatch(text)
-        ids = self[word] = self.plain(*m.groups()) if m else self.whole(text)
+        self[word] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -40,17 +40,32 @@ def test_solve(sizes, slack):
 def test_knapsack_is_optimal():
     r = np.random.default_rng(3)
     for _ in range(20):
-        left = {int(s): int(r.integers(1, 4)) for s in r.integers(1, 12, 5)}
-        weights = {s: float(r.random()) for s in left}
+        bound, weights = np.zeros(21), r.random(21)
+        for s in r.integers(1, 12, 5):
+            bound[s] = r.integers(1, 4)
         best = {0: 0.0}
-        for s, n in left.items():
-            for _ in range(n):
+        for s in range(1, 21):
+            for _ in range(int(bound[s])):
                 for room, v in list(best.items()):
                     if room + s <= 20:
                         best[room + s] = max(best.get(room + s, 0), v + weights[s])
-        found = packing.price(weights, left, 20)
-        assert sum(s * k for s, k in found.items()) <= 20 and all(k <= left[s] for s, k in found.items())
-        assert abs(sum(weights[s] * k for s, k in found.items()) - max(best.values())) < 1e-9
+        first = np.flatnonzero(bound)
+        for size, found, room in zip(first, *packing.price(weights, bound, 20, first), strict=True):
+            assert sum(s * k for s, k in found) == 20 - room and room >= 0 and dict(found)[size] >= 1
+            assert all(k <= bound[s] + (s == size) for s, k in found)
+            want = weights[size] + max(v for used, v in best.items() if used <= 20 - size)
+            assert abs(sum(weights[s] * k for s, k in found) - want) < 1e-9
+
+
+@pytest.mark.parametrize(("n", "share"), [(10_000, 0.85), (100_000, 0.88), (1_000_000, 0.9)])
+def test_the_program_places_most(n, share):
+    """Not best fit; and the number of sequences is the least that can be, or nearly."""
+    # the last pieces of documents: longer ones are cut
+    h = histogram(np.random.default_rng(n).lognormal(6.3, 1.0, n) % 2047 + 1)
+    out, left = packing.rounded(h, packing.fractional(h, 2048, packing.ROUNDS))
+    assert sum(left.values()) <= (1 - share) * n
+    tokens = sum(s * k for s, k in h.items())
+    assert sum(k for _, k in out) + sum(k for _, k in packing.best_fit(left, 2048)) <= 1.0005 * tokens / 2048 + 2
 
 
 @pytest.mark.parametrize("limit", [16, 2048])
