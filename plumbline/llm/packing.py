@@ -10,7 +10,7 @@ whatever the number of documents. Over that histogram:
    allows. Then a length's weight is multiplied: up by how far its coverage lags behind the whole, down while more of it is asked for than is left, so that
    the next round's sets turn to other lengths. Rounds end when the program covers all but GAP of the tokens, or after ROUNDS.
 2. Rounding: sets, most used first, are used a whole number of times, rounded up, never beyond what is left of their lengths.
-3. What is left (tests have how little: some tenth of the pieces, under 5 % of the tokens) is packed best-fit, longest first, on the histogram as well.
+3. What is left (tests have how little: under 15 % of the pieces and 6 % of the tokens) is packed best-fit, longest first, on the histogram as well.
 
 The plan has a row for each set and place in it. A piece finds its place by its rank among the pieces of its length: its rank inside
 the task that cut it plus the counts of the tasks before, from a table with a row for each task and length.

@@ -57,14 +57,14 @@ def test_knapsack_is_optimal():
             assert abs(sum(weights[s] * k for s, k in found) - want) < 1e-9
 
 
-@pytest.mark.parametrize(("n", "share"), [(10_000, 0.85), (100_000, 0.88), (1_000_000, 0.9)])
-def test_the_program_places_most(n, share):
+@pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000])
+def test_the_program_places_most(n):
     """Not best fit; and the number of sequences is the least that can be, or nearly."""
     # the last pieces of documents: longer ones are cut
     h = histogram(np.random.default_rng(n).lognormal(6.3, 1.0, n) % 2047 + 1)
     out, left = packing.rounded(h, packing.fractional(h, 2048, packing.ROUNDS))
-    assert sum(left.values()) <= (1 - share) * n
     tokens = sum(s * k for s, k in h.items())
+    assert sum(left.values()) <= 0.15 * n and sum(s * k for s, k in left.items()) <= 0.06 * tokens
     assert sum(k for _, k in out) + sum(k for _, k in packing.best_fit(left, 2048)) <= 1.0005 * tokens / 2048 + 2
 
 
