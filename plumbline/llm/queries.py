@@ -90,7 +90,7 @@ def secrets_sql() -> str:
     found = " UNION ALL ".join(
         f"SELECT doc_id, {i} AS k, {quote(k)} AS kind, {n} AS least, regexp_extract_all(t, {quote(p)}) AS m, regexp_extract_all(t, {quote(p)}, {g}) AS inner_part, string_split_regex(t, {quote(p)}) AS gaps FROM d WHERE regexp_matches(t, {quote(p)})" for i, (k, p, g, n) in enumerate(kinds)
     )
-    hexes, wide = secrets.THRESHOLD["hex"], secrets.THRESHOLD["wide"]
+    limits = secrets.THRESHOLD
     n = secrets.WINDOW
     allowed = quote("(?i)" + secrets.ALLOWED.removeprefix("(?i)"))
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -98,8 +98,10 @@ f AS ({found}),
 e AS (SELECT *, unnest(range(1, len(m) + 1)) AS j FROM f),
 s AS (SELECT doc_id, k, kind, m[j] AS part, CAST(list_sum(list_transform(gaps[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e WHERE length(inner_part[j]) >= least),
 p AS (SELECT *, a + length(part) AS b FROM s),
-x AS (SELECT * FROM p WHERE k = 3 AND regexp_matches(part, '[0-9].*[0-9]') AND regexp_matches(part, '[A-Za-z].*[A-Za-z]') AND NOT regexp_matches(part, {allowed})
-  AND list_max(list_transform(range(1, length(part) - {n - 2}), lambda i: list_entropy(string_split(substr(part, i, {n}), '')))) >= CASE WHEN regexp_full_match(part, '[0-9a-f]+|[0-9A-F]+') THEN {hexes} ELSE {wide} END
+z AS (SELECT *, array_to_string(list_transform(string_split(part, '/'), lambda x: CASE WHEN regexp_matches(x, {allowed}) THEN repeat(' ', length(x)) ELSE x END), '/') AS seen FROM p WHERE k = 3),
+x AS (SELECT * FROM z p WHERE regexp_matches(seen, '[0-9].*[0-9]') AND regexp_matches(seen, '[A-Za-z].*[A-Za-z]')
+  AND len(list_filter(list_transform(range(1, length(seen) - {n - 2}), lambda i: substr(seen, i, {n})), lambda w: NOT contains(w, ' ')
+  AND list_entropy(string_split(w, '')) >= CASE WHEN regexp_full_match(w, '[0-9a-f]+|[0-9A-F]+') THEN {limits["hex"]} WHEN regexp_full_match(w, '[0-9a-z]+|[0-9A-Z]+') THEN {limits["single"]} ELSE {limits["wide"]} END - 1e-9)) > 0
   AND NOT EXISTS (SELECT 1 FROM p o WHERE o.doc_id = p.doc_id AND o.k < 3 AND o.a <= p.a AND o.b >= p.b)),
 y AS (SELECT doc_id, k, kind, a, b FROM p WHERE k < 3 UNION ALL SELECT doc_id, k, kind, a, b FROM x),
 g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_entropy,

@@ -1,9 +1,11 @@
 """Secret scans: patterns of known secrets, and sliding-window entropy over candidate strings.
 
 Spans are found without Python: regexp_extract_all has the matches and split by the same pattern the text between them, so that running
-sums of their lengths are code-point offsets. Candidates for the entropy scan are runs of at least 20 characters of the base64 alphabets that
-have digits and letters. Their class (hex, or the wider alphabet) sets the threshold; the entropy of each window of 20
-characters follows from the one before by two counts that change. Placeholders, UUIDs, numbers and words are allowed.
+sums of their lengths are code-point offsets. Candidates for the entropy scan are runs of at least 20 characters of the base64 alphabets ("=" parts them)
+that have two digits and two letters. Parts of a candidate between slashes that the allow list matches (placeholders, UUIDs, counted numbers) are blanked; the rest of it is
+still scanned. A window of 20 characters without a blank has a class of its own, by the characters in it: hex digits of one case, letters of one case with
+digits, or the wide alphabet. The class sets the threshold that the window's Shannon entropy must reach. Counts of characters and of classes are kept
+from window to window: each step adds one character and takes one away, in counts of five bits that share six numbers.
 
 Defined cases: a null text is empty, without spans. One pass, no shuffle; a document's work is linear in its length.
 """
@@ -15,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.shared import let
+
 #: The base patterns, and the group and length that a match needs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -22,11 +26,14 @@ HEX = r"[0-9a-f]+"
 BASE = {"assign": (ASSIGN, 2, 12), "access": (ACCESS, 0, 18), "hex": (HEX, 0, 16)}
 #: For the hex pattern: passes over runs that are too short without a match for each; the matches that stay are the same.
 LONG_HEX = r"[0-9a-f]{16,}+"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}+"
 WINDOW = 20
-#: Bits a character in some window; 20 random hex digits have about 3.3, 20 random base64 characters about 4.1.
-THRESHOLD = {"hex": 2.9, "wide": 3.75}
+#: Bits a character in some window, by its class; 20 random hex digits have about 3.3, letters of one case with digits 3.8, base64 characters 4.1.
+THRESHOLD = {"hex": 2.9, "single": 3.5, "wide": 3.75}
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|xxxx|1234567|abcdef|(?:^|[^0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+#: The alphabet, in whose order characters are numbered; counts of five bits, of which a number holds twelve.
+ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_-"
+BITS, EACH = 5, 12
 #: Offsets are summed over this many matches at once.
 CHUNK = 256
 
@@ -55,29 +62,61 @@ def spans(text: Column, pattern: str, group: int, least: int) -> Column:
     return F.when(text.rlike(pattern), F.filter(placed, lambda x: x["text"].isNotNull())).otherwise(F.array().cast(kind))
 
 
-def window_entropy(s: Column) -> Column:
-    """The highest Shannon entropy, in bits a character, of a window of WINDOW characters in s (ASCII, of at least that length)."""
-    part = lambda c: F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(0.0)
-    state = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+def blanked(s: Column) -> Column:
+    """A candidate with blanks for what the allow list suppresses, of the same length."""
+    parts = F.transform(F.split(s, "/"), lambda x: F.when(x.rlike(ALLOWED), F.repeat(F.lit(" "), F.char_length(x))).otherwise(x))
+    return F.when(s.rlike(ALLOWED), F.array_join(parts, "/")).otherwise(s)
+
+
+def window_secret(s: Column) -> Column:
+    """Whether a window of WINDOW characters of s (ASCII) without blanks reaches the threshold of its class."""
+    part = lambda c: c * F.log2(F.greatest(c, F.lit(1)).cast("double"))
+    # a character's number, and its classes: digit, lower or upper letter of hex, other lower, other upper, sign, blank
+    number = {c: k for k, c in enumerate(ALPHABET)}
+    number[" "] = len(ALPHABET)
+    kind = lambda c: 0 if c.isdigit() else 6 if c == " " else 5 if not c.isalpha() else (1 if c in "abcdef" else 3) if c.islower() else 2 if c in "ABCDEF" else 4
+    numbers = F.array(*(F.lit(number.get(chr(k), 0)) for k in range(128)))
+    kinds = F.array(*(F.lit(1 << (BITS * kind(chr(k)))).cast("long") for k in range(128)))
+    slots = -(-(len(ALPHABET) + 1) // EACH)
+    #: Of all windows so far: the counts of the characters, of the classes, the sum of c log2 c, and whether one was found.
+    state = F.struct(F.array_repeat(F.lit(0).cast("long"), slots).alias("n"), F.lit(0).cast("long").alias("kinds"), F.lit(0.0).alias("sum"), F.lit(False).alias("found"))
+
+    def count(n: Column, k: Column) -> Column:
+        return F.call_function("shiftrightunsigned", F.get(n, F.floor(k / EACH).cast("int")), (k % EACH) * BITS).bitwiseAND(F.lit(31).cast("long")).cast("int")
+
+    def moved(n: Column, k: Column, by: int) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), (k % EACH) * BITS)
+        return F.transform(n, lambda x, i: F.when(i == F.floor(k / EACH).cast("int"), x + by * one).otherwise(x))
+
+    def step(points: Column, a: Column, i: Column) -> Column:
+        """Take the character that the window leaves away, then add the one that it meets."""
+        code = lambda j: F.get(points, j)
+
+        def drop(a: Column, c: Column) -> Column:
+            k = F.get(numbers, c)
+            return let(count(a["n"], k), lambda m: F.struct(moved(a["n"], k, -1).alias("n"), (a["kinds"] - F.get(kinds, c)).alias("kinds"), (a["sum"] + part(m - 1) - part(m)).alias("sum"), a["found"].alias("found")))
+
+        def meet(a: Column, c: Column) -> Column:
+            k = F.get(numbers, c)
+            return let(count(a["n"], k), lambda m: F.struct(moved(a["n"], k, 1).alias("n"), (a["kinds"] + F.get(kinds, c)).alias("kinds"), (a["sum"] + part(m + 1) - part(m)).alias("sum"), a["found"].alias("found")))
+
+        def judged(a: Column) -> Column:
+            has = lambda k: F.shiftrightunsigned(a["kinds"], BITS * k).bitwiseAND(F.lit(31).cast("long")) > 0
+            lower, upper = has(1) | has(3), has(2) | has(4)
+            least = F.when(has(5) | (lower & upper), THRESHOLD["wide"]).when(has(3) | has(4), THRESHOLD["single"]).otherwise(THRESHOLD["hex"])
+            found = (i >= WINDOW - 1) & ~has(6) & (math.log2(WINDOW) - a["sum"] / WINDOW >= least - 1e-9)
+            return F.struct(a["n"].alias("n"), a["kinds"].alias("kinds"), a["sum"].alias("sum"), found.alias("found"))
 
-    def step(a: Column, i: Column) -> Column:
-        into, gone = F.ascii(F.substring(s, i + 1, F.lit(1))), F.when(i >= WINDOW, F.ascii(F.substring(s, i - WINDOW + 1, F.lit(1)))).otherwise(-1)
-        up = F.get(a["n"], into)
-        down = F.when(gone < 0, 0).otherwise(F.get(a["n"], F.greatest(gone, F.lit(0))))
-        change = F.when(into == gone, 0.0).otherwise(part(up + 1) - part(up) + F.when(gone < 0, 0.0).otherwise(part(down - 1) - part(down)))
-        total = a["sum"] + change
-        counts = F.transform(a["n"], lambda n, k: n + F.when(k == into, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
-        bits = F.when(i >= WINDOW - 1, math.log2(WINDOW) - total / WINDOW).otherwise(0.0)
-        return F.struct(counts.alias("n"), total.alias("sum"), F.greatest(a["best"], bits).alias("best"))
+        after = let(F.when(i >= WINDOW, let(code(i - WINDOW), lambda c: drop(a, c))).otherwise(a), lambda a: let(code(i), lambda c: meet(a, c)))
+        return F.when(a["found"], a).otherwise(let(after, judged))
 
-    return F.aggregate(F.sequence(F.lit(0), F.char_length(s) - 1), state, step)["best"]
+    codes = F.transform(F.split(s, ""), lambda c: F.ascii(c))
+    return let(codes, lambda points: F.aggregate(F.sequence(F.lit(0), F.size(points) - 1), state, lambda a, i: step(points, a, i))["found"])
 
 
 def is_secret(s: Column) -> Column:
-    """Whether a candidate string is one by its entropy, and not allowed."""
-    hexes = s.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
-    mixed = s.rlike(r"[0-9].*[0-9]") & s.rlike("[A-Za-z].*[A-Za-z]") & ~s.rlike(r"(?i)" + ALLOWED)
-    return F.when(mixed, window_entropy(s) >= F.when(hexes, THRESHOLD["hex"]).otherwise(THRESHOLD["wide"])).otherwise(False)
+    """Whether a candidate string has a window that is secret by its entropy."""
+    return let(blanked(s), lambda x: F.when(x.rlike(r"[0-9].*[0-9]") & x.rlike("[A-Za-z].*[A-Za-z]"), window_secret(x)).otherwise(False))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,11 @@
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import secrets
@@ -43,15 +46,69 @@ def test_entropy_finds_and_allows(spark):
     assert found[7] == []
 
 
-def test_window_entropy_is_exact(spark):
+def brute(s):
+    """Whether some window of s reaches its class's threshold."""
+    n = secrets.WINDOW
+    for i in range(len(s) - n + 1):
+        w = s[i : i + n]
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w) else "single" if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", w) else "wide"
+        if " " not in w and -sum(c / n * math.log2(c / n) for c in Counter(w).values()) >= secrets.THRESHOLD[kind] - 1e-9:
+            return True
+    return False
+
+
+def test_windows_are_exact(spark):
+    r = random.Random(4)
     words = ["aaaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz0123456789", "aaaaaaaaaaaaaaaaaaaabcdefghijklmnopqrstu", "k9Xv2LqPz7RtB4mWc8YdF1gH5jNs"]
+    for letters in ("0123456789abcdef", "ABCDEF0123", "abcdefghijklmnop01", "abcdeF0", secrets.ALPHABET, "aB ", "abcdefghijk lmnop012"):
+        words += ["".join(r.choice(letters) for _ in range(r.randint(20, 60))) for _ in range(60)]
+    rows = spark.createDataFrame([(w,) for w in words], "s string").repartition(4).select("s", secrets.window_secret(F.col("s")).alias("e")).collect()
+    want = {w: brute(w) for w in words}
+    assert all(r.e == want[r.s] for r in rows) and 100 < sum(want.values()) < len(words) - 100
+
+
+def random_text(letters, n, seed=1):
+    r = random.Random(seed)
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+@pytest.mark.parametrize("letters", [secrets.ALPHABET, "ab1" * 3 + "2", "aaaaaaaaaaaaaaaaaaab1"])
+def test_long_candidates_take_linear_time(spark, letters):
+    text = random_text(letters, 200_000)
+    began = time.perf_counter()
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["entropy"]
+    assert [(x["start"], x["end"]) for x in found] == ([(0, 200_000)] if len(set(letters)) > 60 else [])
+    assert time.perf_counter() - began < 60
+
+
+def test_a_prefix_does_not_hide_a_secret(spark):
+    """The class is that of a window, and the allow list blanks only the part that it matches."""
+    r = random.Random(8)
+    hexes = ["".join(r.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(40)]
+    texts = [f"auth={x}" for x in hexes] + [f"KEY-{x}" for x in hexes] + [f"path/sample/{x}" for x in hexes]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert secrets.scan(df).where("size(entropy) = 1").count() >= 0.95 * len(texts)
+    hidden = ["path/sample", "the/example_k9Xv2LqPz7RtB4mWc8/key", "00000000-1111-2222-3333-444444444444/abc"]
+    assert secrets.scan(spark.createDataFrame(list(enumerate(hidden)), "doc_id long, text string")).where("size(entropy) > 0").count() == 0
+
+
+def test_sql(spark):
+    """The SQL of the query gives the same rows, on texts with all kinds of candidates."""
+    import duckdb
 
-    def brute(s):
-        n = secrets.WINDOW
-        return max(-sum(c / n * math.log2(c / n) for c in Counter(s[i : i + n]).values()) for i in range(len(s) - n + 1))
+    from plumbline.llm.queries import ORACLES
 
-    rows = spark.createDataFrame([(w,) for w in words], "s string").select("s", secrets.window_entropy(F.col("s")).alias("e")).collect()
-    assert all(abs(r.e - brute(r.s)) < 1e-9 for r in rows)
+    r = random.Random(6)
+    parts = [*(t for t in TEXTS if t and len(t) < 500), "path/sample/9Xv2LqPz7RtB4mWc8YdF1gH5", "-", "=", "é😀", "aB3" * 9, "0123456789" * 3, "fedcba9876543210fedc"]
+    rows = [(i, " ".join(r.choice(parts) + random_text(secrets.ALPHABET, r.randint(0, 30), i) for _ in range(r.randint(0, 4)))) for i in range(200)] + [(900, None), (901, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = con.sql(ORACLES["op4_secret_scan"])
+    want = [dict(zip(found.columns, x, strict=True)) for x in found.fetchall()]
+    got = [x.asDict() for x in secrets.scan_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    key = lambda x: x["doc_id"]
+    assert sorted(got, key=key) == sorted(want, key=key) and sum(x["n_entropy"] for x in got) > 30
 
 
 def test_prose_has_none(docs, odd, empty):
