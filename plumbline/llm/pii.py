@@ -90,6 +90,9 @@ CHECK = {
     "iban": mod97,
     "ssn": lambda m: True,
 }
+#: The ip pattern as it is searched for: a match never begins inside a run of digits, since it would begin with the run, and gives no digit back. So each run is
+#: read a few times at most.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 #: A character without which a kind's pattern can't match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 
@@ -143,7 +146,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     for kind, pattern in (BASE | ADDED).items():
         if NEEDS.get(kind, "") not in text:
             continue
-        places = emails(text) if kind == "email" else ibans(text) if kind == "iban" else (m.span() for m in pattern.finditer(text))
+        places = emails(text) if kind == "email" else ibans(text) if kind == "iban" else (m.span() for m in (IP if kind == "ip" else pattern).finditer(text))
         for start, end in places:
             if CHECK[kind](text[start:end]):
                 value = score(text, kind, start, end)
