@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import drop_stored, let, settled, stored, words_of
 
 #: Rows that the estimates are made on, on average; runs of each rule, and how often a run reads the sample.
-SAMPLE_ROWS, RUNS, TIMES = 2000, 3, 3
+SAMPLE_ROWS, RUNS, TIMES = 2000, 3, 1
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 
@@ -102,7 +102,7 @@ def by_rate(rates: dict[str, float]) -> list[str]:
 def rule_order(docs: DataFrame, text: Column, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of rules by rejection per cost on a sample of about sample_rows rows (twice as many at most)."""
     some = docs.sample(min(1.0, sample_rows / max(1, docs.count())), seed=7).limit(2 * sample_rows)
-    sample = stored(with_words(some, text).select("q"), "quality-sample")
+    sample = stored(with_words(some.repartition(8), text).select("q"), "quality-sample")
     n = max(1, sample.count())
     several = sample.select("q", F.explode(F.sequence(F.lit(1), F.lit(TIMES))).alias("time"))
 
