@@ -5,26 +5,31 @@ another is (c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR), with p(w) = (c(w) + 1) / (
 texts, the background's those of all documents. A document's score is the mean over its tokens of the target's loss less the background's, in nats: the
 lower, the more it is like the target.
 
-No table of bigrams is collected or broadcast, since it grows with the corpus. Documents are dealt by hash into groups of some GROUP_ROWS;
-a group lists its distinct bigrams with their counts once. Summed over groups these lists are the background model; joined with the
+No table of bigrams is collected or broadcast, since it grows with the corpus. Documents are dealt into groups in the order in which they are read, each of GROUP_ROWS
+documents and GROUP_CHARS characters at most (a single longer text is a group): what ids or texts they have doesn't matter, so that no id or group of copies
+makes a large one. A group lists its distinct bigrams with their counts once. Summed over groups these lists are the background model; joined with the
 models by bigram, they come back to their group with the counts that the group's documents need. Only the counts of single ids, as many as the vocabulary has,
 go to every worker.
 
 Defined cases: a null or empty text has 0 tokens and null losses and score; repeated rows are scored alike; without target texts or documents the smoothing
-alone decides. Documents with a null id are scored; they share a group.
+alone decides. Documents with a null id are scored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import stored
 from plumbline.llm.wordids import WordIds, word_ids
 
-PRIOR, GROUP_ROWS = 8.0, 2048
+PRIOR, GROUP_ROWS, GROUP_CHARS = 8.0, 2048, 1 << 24
 #: Documents of a group that are encoded at once.
 TOGETHER = 256
 SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
@@ -37,9 +42,21 @@ def bigrams(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, group_rows: int) -> DataFrame:
-    n = docs.select(id_col).count()
-    groups = max(1, -(-n // group_rows))
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(groups)).cast("int").alias("group"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """group, doc_id, text: a stored table, since groups must be the same whenever it is read."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, chars = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            groups = np.zeros(batch.num_rows, np.int64)
+            for i, size in enumerate(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()):
+                if rows and (rows >= group_rows or chars + size > GROUP_CHARS):
+                    group, rows, chars = group + 1, 0, 0
+                rows, chars = rows + 1, chars + size
+                groups[i] = group
+            yield pa.RecordBatch.from_arrays([pa.array(groups), *batch.columns], ["group", "doc_id", "text"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return stored(rows.mapInArrow(dealt, "group long, doc_id long, text string"), "lm-docs")
 
 
 def counted(rows: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
@@ -53,10 +70,10 @@ def counted(rows: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
             new, more = np.unique(np.concatenate(found), return_counts=True)
             both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
             keys, n = both, np.bincount(where, np.concatenate([n, more]), len(both)).astype(np.int64)
-        group = pa.array(np.full(len(keys), table.column("group")[0].as_py(), np.int32))
+        group = pa.array(np.full(len(keys), table.column("group")[0].as_py(), np.int64))
         return pa.table({"group": group, "bigram": pa.array(keys), "n": pa.array(n)})
 
-    return rows.groupBy("group").applyInArrow(count, "group int, bigram long, n long")
+    return rows.groupBy("group").applyInArrow(count, "group long, bigram long, n long")
 
 
 def singles(model: DataFrame, count: str, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -57,3 +57,14 @@ def test_odd_and_empty(spark, odd, empty, path):
     target = spark.createDataFrame([], "item_id long, text string")
     assert lmscore.score(odd, target, path("word_bpe_49k.json")).count() == odd.count()
     assert lmscore.score(empty, target, path("word_bpe_49k.json")).count() == 0
+
+
+def test_groups_are_bounded_whatever_the_ids(spark, monkeypatch):
+    """Copies and null ids, a third of all rows, don't share a group; nor do long texts."""
+    monkeypatch.setattr(lmscore, "GROUP_CHARS", 5000)
+    rows = [(None, "the same text")] * 300 + [(i, "text " * (i % 400)) for i in range(300)] + [(7, None)] * 300 + [(1, "x" * 9000)]
+    groups = lmscore.grouped(spark.createDataFrame(rows, "id long, t string").coalesce(2), "id", "t", 50).collect()
+    sizes = {}
+    for r in groups:
+        sizes.setdefault(r["group"], []).append(len(r["text"] or ""))
+    assert len(groups) == len(rows) and all(len(x) <= 50 and (len(x) == 1 or sum(x) <= 5000) for x in sizes.values())
