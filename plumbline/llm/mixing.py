@@ -105,10 +105,15 @@ def split_quotas(quotas: DataFrame, total: int, shards: int, seed: int) -> DataF
     return cells.withColumn("last", F.sum("n").over(upto_here) - 1).select("source_no", "shard", (F.col("last") - F.col("n") + 1).alias("first"), "last")
 
 
+def document_key(id_: Column, text: Column) -> Column:
+    """What deals a document to a block: its id and text, so that no id that many documents share (as null) makes a large block."""
+    return F.struct(id_.alias("id"), F.xxhash64(text).alias("text"))
+
+
 def mix(docs: DataFrame, *, narrow: DataFrame | None = None, cycle: list[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 1) -> DataFrame:
     """What the mix takes of each row of docs.
 
-    docs: row (a struct of whatever the caller wants back), id, source, size (words). narrow: the same rows' id, source and
+    docs: row (a struct of whatever the caller wants back), id (such as document_key), source, size (words). narrow: the same rows' id, source and
     size as a table that is cheap to read three times; by default they are written to one here.
     Returns row, size, source_size, target, taken (words, repeats counted) and draws: an array of (copy, words, shard, place), where
     place orders a shard's rows at random.
@@ -162,7 +167,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The one document of a source at which its target is met is cut to its first words, joined by single spaces.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size"))
+    rows = docs.select(F.struct("*").alias("row"), document_key(F.col(id_col), F.col(text_col)).alias("id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size"))
     taken = mix(rows, **options).select("row", "size", F.explode("draws").alias("d"))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(WORD), F.lit(0)), 1, F.greatest(F.lit(1), F.col("d.words")).cast("int")), " ")
     text = F.when(F.col("d.words") < F.col("size"), cut).otherwise(F.col(f"row.{text_col}"))

@@ -37,8 +37,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    sizes = stored(docs.select(F.col("doc_id").alias("id"), "source", n_words_of(F.col("text")).alias("size")), "mix-sizes")
-    taken = mixing.mix(sizes.select(F.struct(F.col("id").alias("doc_id")).alias("row"), "id", "source", "size"), narrow=sizes)
+    sizes = stored(docs.select("doc_id", mixing.document_key(F.col("doc_id"), F.col("text")).alias("id"), "source", n_words_of(F.col("text")).alias("size")), "mix-sizes")
+    taken = mixing.mix(sizes.select(F.struct("doc_id").alias("row"), "id", "source", "size"), narrow=sizes)
     return taken.select("row.doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards"))
 
 

@@ -92,3 +92,15 @@ def test_documents(docs, odd, empty):
     assert sum(r["text"] not in whole for r in out.collect()) <= 5  # at most one cut document for each source
     assert mixing.mix_documents(odd).columns == odd.columns and mixing.mix_documents(odd).count() > 0
     assert mixing.mix_documents(empty).count() == 0 and mixing.mix(sized(empty)).count() == 0
+
+
+def test_a_shared_id_makes_no_large_block(spark):
+    """A third of all rows without an id: their blocks are as small as others, and the mix still meets its targets."""
+    texts = [(None if i % 3 == 0 else i, f"text number {i} " + "word " * (i % 50), "a" if i % 2 else "b") for i in range(3000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string").select(mixing.document_key(F.col("doc_id"), F.col("text")).alias("id"), "source", F.size(F.split(F.trim("text"), " ")).cast("long").alias("size"))
+    out = mixing.mix(df.select(F.struct("id").alias("row"), "id", "source", "size"), block_words=1000, shard_blocks=4)
+    sums = out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")) if "source" in out.columns else out.groupBy("target").agg(F.sum("taken").alias("taken"))
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in sums.collect())
+    moduli = df.groupBy("source").agg(F.ceil(F.sum("size") / 1000).alias("n"))
+    blocks = df.join(moduli, "source").groupBy("source", F.pmod(F.xxhash64(F.lit(1), "id"), "n").alias("block")).agg(F.sum("size").alias("words"))
+    assert blocks.agg(F.max("words")).first()[0] < 3000
