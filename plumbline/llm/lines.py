@@ -1,18 +1,19 @@
 """Line dedup: of all lines of all documents that are alike, one stays.
 
-A line is compared trimmed and in lower case; lines of under MIN_CHARS code points always stay. Equal lines are one unit. Units are alike if the Jaccard
-similarity of their sets of SHINGLE-character shingles is THRESHOLD or more, directly or through others:
+A line is compared trimmed and in lower case; lines without a letter or digit (blank ones, rules, brackets) always stay. Equal lines are one unit. Units are
+alike if the Jaccard similarity of their sets of SHINGLE-character shingles is THRESHOLD or more, directly or through others (of a line shorter than a shingle
+the whole line is the one shingle, so that short lines repeat only if they are equal):
 
-1. Signatures: all shingle hashes of a unit are dealt to BANDS * ROWS bins, of which each keeps its least one
-   (one-permutation MinHash); an empty bin takes the value of the next full one. ROWS bins make a band.
+1. Signatures: each shingle of a unit is a row and is hashed once; BANDS * ROWS minima, each of the hash under a permutation of its own, are one partial
+   aggregation. ROWS minima make a band. Units, not lines, are signed.
 2. Banding: units with an equal band share a bucket. Each is compared with the bucket's most frequent unit first. After these links are merged,
    whatever isn't in a bucket's largest component is compared, block by block, with all of the bucket that is in another component: so
    every pair of a bucket is linked, compared, or inside one component, and no pairs are listed but links.
-3. Verification: the exact Jaccard similarity of the shingle sets of a pair.
+3. Verification: the exact Jaccard similarity of the shingle sets of a pair. Pairs whose sets differ too much in size are told apart by the sizes.
 4. Union: distributed connected components; of each the first line by doc_id, then row, then line stays.
 
 Only DataFrame functions are used. Shingles are cut from UTF-32 bytes, where a code point's place is known, so that a line's work is
-linear in its length.
+linear in its length. Tables in between go when they have been used, and their shuffles with them.
 
 Defined cases: a null text has no lines and stays null; rows with the same id and text are one document and are treated alike; rows with the same id and
 other text are documents of their own; null ids come first. Documents keep their row even if no line stays.
@@ -20,13 +21,15 @@ other text are documents of their own; null ids come first. Documents keep their
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.shared import let, stored
+from plumbline.llm.shared import drop_stored, let, settled, stored
 
-SHINGLE, THRESHOLD, MIN_CHARS = 8, 0.8, 24
+SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 4
 #: Lines that are compared with twice as many others in one row.
 BLOCK = 32
@@ -43,11 +46,11 @@ def shingle(points: Column, byte: Column) -> Column:
 
 def starts(line: Column) -> Column:
     """The bytes where shingles begin."""
-    return F.sequence(F.lit(1), 4 * (F.char_length(line) - SHINGLE) + 1, F.lit(4))
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), 4 * (F.char_length(line) - SHINGLE) + 1), F.lit(4))
 
 
 def shingles(line: Column) -> Column:
-    """The set of shingle hashes of a line of SHINGLE code points or more."""
+    """The set of shingle hashes of a line."""
     return F.array_distinct(let(F.encode(line, "UTF-32"), lambda points: F.transform(starts(line), lambda i: shingle(points, i))))
 
 
@@ -56,32 +59,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), lambda p: let(F.size(F.array_intersect(p["a"], p["b"])), lambda n: n / (F.size(p["a"]) + F.size(p["b"]) - n).cast("double")))
 
 
-def bands(line: Column) -> Column:
-    """BANDS hashes of a line's signature.
+def signed(units: DataFrame, *keep: str) -> DataFrame:
+    """unit, the columns of keep (numbers) and bands, BANDS hashes of its signature, for units with a column line.
 
-    All shingles count: a choice of them by the line's own length would lose shingles that a longer or shorter line keeps. The halves of a hash change
-    places; sorted by it, bins are runs.
+    All shingles of all lines count. A permutation of the hashes is an exclusive or with a constant.
     """
-    bins = BANDS * ROWS
-    turned = lambda x: F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32))
-    bin_of = lambda x: F.shiftright((F.shiftright(x, 40) + (1 << 23)) * bins, 24).cast("int")
-
-    def least(points: Column) -> Column:
-        return F.sort_array(F.transform(starts(line), lambda i: turned(shingle(points, i))))
-
-    def first_of_bins(y: Column) -> Column:
-        first = F.filter(y, lambda x, i: (i == 0) | (bin_of(F.get(y, i - 1)) != bin_of(x)))
-        return F.transform(first, lambda x: F.struct(bin_of(x).alias("bin"), x.alias("v")))
-
-    def filled(e: Column) -> Column:
-        before = F.flatten(F.transform(e, lambda x, i: F.array_repeat(x["v"], x["bin"] - F.when(i == 0, -1).otherwise(F.get(e, i - 1)["bin"]))))
-        return F.concat(before, F.array_repeat(F.get(e, F.lit(0))["v"], bins - 1 - F.element_at(e, -1)["bin"]))
-
-    def keys(s: Column) -> Column:
-        return F.array(*(F.xxhash64(F.lit(j), *(F.get(s, F.lit(j * ROWS + k)) for k in range(ROWS))) for j in range(BANDS)))
-
-    signature = let(let(let(F.encode(line, "UTF-32"), least), first_of_bins), filled)
-    return let(signature, keys)
+    draw = random.Random(17)
+    masks = [draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+    rows = units.select("unit", *keep, F.encode("line", "UTF-32").alias("points"), starts(F.col("line")).alias("starts")).select("unit", *keep, "points", F.explode("starts").alias("start"))
+    rows = rows.select("unit", *keep, shingle(F.col("points"), F.col("start")).alias("hash"))
+    least = rows.groupBy("unit", *keep).agg(*(F.min(F.col("hash").bitwiseXOR(F.lit(m).cast("long"))).alias(f"m{k}") for k, m in enumerate(masks)))
+    return least.select("unit", *keep, F.array(*(F.xxhash64(F.lit(j), *(f"m{j * ROWS + k}" for k in range(ROWS))) for j in range(BANDS))).alias("bands"))
 
 
 def row_key(id_: Column, text: Column) -> Column:
@@ -89,79 +77,104 @@ def row_key(id_: Column, text: Column) -> Column:
 
 
 def all_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, row (a hash that names the document), number (from 0), line: normal lines that are long enough."""
+    """doc, row (a hash that names the document), number (from 0), unit, check (two hashes of the line), line: normal lines with a letter or digit."""
     doc, text = F.col(id_col).alias("doc"), F.col(text_col)
     df = docs.select(doc, row_key(F.col(id_col), text).alias("row"), F.posexplode(F.split(text, "\n")).alias("number", "line"))
-    return df.withColumn("line", normal(F.col("line"))).where(F.char_length("line") >= MIN_CHARS)
+    df = df.withColumn("line", normal(F.col("line"))).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    return df.select("doc", "row", "number", F.xxhash64("line").alias("unit"), F.xxhash64(F.lit(1), "line").alias("check"), "line")
+
+
+def close(m: Column, n: Column, threshold: float) -> Column:
+    """Whether sets of m and n shingles can be alike."""
+    return F.least(m, n) >= threshold * F.greatest(m, n)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of units whose shingle sets are alike."""
-    a, b = (texts.select(F.col("unit").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
+    a, b = (texts.select(F.col("unit").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
-    return both.where(jaccard(shingles(F.col("line_a")), shingles(F.col("line_b"))) >= threshold).select("a", "b")
+    alike = F.when(close(F.col("size_a"), F.col("size_b"), threshold), jaccard(shingles(F.col("line_a")), shingles(F.col("line_b"))) >= threshold).otherwise(False)
+    return both.where(alike).select("a", "b")
 
 
 def blocks(members: DataFrame, counts: DataFrame, texts: DataFrame, size: int, name: str) -> DataFrame:
     """key and an array of some `size` of a bucket's members, with their lines. counts: how many a key has."""
     rows = members.join(counts, "key").join(texts, "unit").withColumn("part", F.pmod(F.xxhash64("unit"), F.ceil(F.col("count") / size)))
-    return rows.groupBy("key", "part").agg(F.collect_list(F.struct("unit", "component", "outer", "bands", "line")).alias(name)).drop("part")
+    # the bands before this key's: a pair that shares one of them is compared there
+    before = F.slice("bands", F.lit(1), F.array_position("bands", F.col("key")).cast("int") - 1).alias("before")
+    return rows.groupBy("key", "part").agg(F.collect_list(F.struct("unit", "component", "outer", before, "size", "line")).alias(name)).drop("part")
 
 
 def cross_links(inside: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between the components inside each bucket.
 
-    A member outside the bucket's largest component is compared with all members of other components, block by block: a row holds two blocks, whose shingle
-    sets are made once, and gives its links only. A pair of several common buckets is compared in the first.
+    A member outside the bucket's largest component is compared with all members of other components, block by block: a row holds two blocks, and gives
+    its links only. Shingle sets are made once in a row, and only of lines that have a partner to be compared with. A pair of several common buckets is compared
+    in the first.
     """
     largest = inside.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    members = stored(inside.where("unit <> chief").join(largest, "key").select("key", "unit", "component", (F.col("component") != F.col("largest")).alias("outer")), "line-members")
+    members = stored(inside.join(largest, "key").select("key", "unit", "component", (F.col("component") != F.col("largest")).alias("outer")), "line-members")
     outer = members.where("outer")
     n_outer = outer.groupBy("key").count()
-    n_all = members.join(n_outer.select("key"), "key", "left_semi").groupBy("key").count()
+    n_all = members.groupBy("key").count()
     pairs = blocks(outer, n_outer, texts, BLOCK, "xs").join(blocks(members, n_all, texts, 2 * BLOCK, "ys"), "key")
-    sets = lambda c: F.transform(c, lambda x: F.struct(x["unit"].alias("unit"), x["component"].alias("component"), x["outer"].alias("outer"), F.slice(x["bands"], 1, F.array_position(x["bands"], F.col("key")).cast("int") - 1).alias("before"), shingles(x["line"]).alias("s")))
 
-    def alike(x: Column, y: Column) -> Column:
-        m, n = F.size(x["s"]), F.size(y["s"])
-        new = (x["component"] != y["component"]) & (~y["outer"] | (x["unit"] < y["unit"])) & (F.least(m, n) >= threshold * F.greatest(m, n)) & ~F.arrays_overlap(x["before"], y["before"])
-        return F.when(new, jaccard(x["s"], y["s"]) >= threshold).otherwise(False)
+    def new(x: Column, y: Column) -> Column:
+        """Whether the pair is to be compared here."""
+        return (x["component"] != y["component"]) & (~y["outer"] | (x["unit"] < y["unit"])) & close(x["size"], y["size"], threshold) & ~F.arrays_overlap(x["before"], y["before"])
+
+    def sets(xs: Column) -> Column:
+        return F.transform(xs, lambda x: F.struct(*(x[c].alias(c) for c in ("unit", "component", "outer", "before", "size")), shingles(x["line"]).alias("s")))
+
+    def found(xs: Column, ys: Column) -> Column:
+        alike = lambda x, y: F.when(new(x, y), jaccard(x["s"], y["s"]) >= threshold).otherwise(False)
+        return F.flatten(F.transform(xs, lambda x: F.transform(F.filter(ys, lambda y: alike(x, y)), lambda y: F.struct(x["unit"].alias("a"), y["unit"].alias("b")))))
 
-    found = let(sets(F.col("ys")), lambda ys: F.flatten(F.transform(sets(F.col("xs")), lambda x: F.transform(F.filter(ys, lambda y: alike(x, y)), lambda y: F.struct(x["unit"].alias("a"), y["unit"].alias("b"))))))
-    return pairs.select(F.explode(found).alias("x")).select("x.*")
+    open_xs = F.filter("xs", lambda x: F.exists("ys", lambda y: new(x, y)))
+    open_ys = F.filter("ys", lambda y: F.exists("xs", lambda x: new(x, y)))
+    both = pairs.select(open_xs.alias("xs"), open_ys.alias("ys")).where(settled(F.size("xs") > 0))
+    both = both.select(sets(F.col("xs")).alias("xs"), sets(F.col("ys")).alias("ys"))
+    links = both.select(F.explode(let(F.struct("xs", "ys"), lambda p: found(p["xs"], p["ys"]))).alias("x")).select("x.*")
+    links = stored(links, "line-links")
+    drop_stored(members)
+    return links
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """row (see row_key) and lines: the sorted numbers of its lines that repeat another line that stays."""
-    seen = all_lines(docs, id_col, text_col).select("doc", "row", "number", F.xxhash64("line").alias("unit"), F.xxhash64(F.lit(1), "line").alias("check"), bands(F.col("line")).alias("bands"))
-    seen = stored(seen, "lines")
+    """row (see row_key) and lines: the sorted numbers of its lines that repeat another line that stays. A stored table."""
+    lines = all_lines(docs, id_col, text_col)
+    seen = stored(lines.select("row", "number", "unit"), "lines")
     first = F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc", "row", "number")).alias("first")
     # lines that only share a hash, which a second one tells, are left alone
-    units = seen.groupBy("unit").agg(first, F.count("*").alias("n"), (F.min("check") != F.max("check")).alias("mixed"), F.first("bands").alias("bands"))
-    units = stored(units.where("not mixed").drop("mixed"), "line-units")
+    units = lines.groupBy("unit").agg(first, F.count("*").alias("n"), (F.min("check") != F.max("check")).alias("mixed"), F.first("line").alias("line"))
+    units = units.where("not mixed").select("unit", "first.*", "n", "line")
+    # both sides of this join read one shuffle: its columns are all kept on either side
+    units = stored(units.join(signed(units, "known", "doc", "row", "number", "n").select("unit", "bands"), "unit"), "line-units")
 
     keyed = units.select("unit", "n", F.explode("bands").alias("key"))
     # the line that others are variants of is likely the one that occurs most often
     several = keyed.groupBy("key").agg(F.max_by("unit", "n").alias("chief"), F.count("*").alias("size")).where("size > 1")
     members = stored(keyed.drop("n").join(several, "key"), "line-buckets")
-    needed = members.select("unit").distinct().join(units.select("unit", "first", "bands"), "unit").select(F.col("first.row").alias("row"), F.struct(F.col("first.number").alias("number"), "unit", "bands").alias("x"))
-    needed = needed.groupBy("row").agg(F.collect_list("x").alias("wanted"))  # at most a document's lines
-    found = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).join(needed, "row").withColumn("parts", F.split("text", "\n"))
-    texts = found.select("parts", F.explode("wanted").alias("x")).select("x.unit", "x.bands", normal(F.get("parts", F.col("x.number"))).alias("line")).dropDuplicates(["unit"])
-    texts = stored(texts, "line-texts")
+    texts = units.select("unit", "line", "bands").join(members.select("unit").distinct(), "unit")
+    texts = stored(texts.withColumn("size", F.size(shingles(F.col("line")))), "line-texts")
 
     starred = stored(verified(members.where("unit <> chief").select(F.col("unit").alias("a"), F.col("chief").alias("b")).distinct(), texts, threshold), "line-links")
     linked = components(starred).withColumnRenamed("node", "unit")
-    inside = members.where("size > 2").join(linked, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    inside = stored(inside.select("key", "unit", "chief", "component"), "line-components")
-    more = stored(cross_links(inside, texts, threshold), "line-links")
+    inside = members.where("size > 2 and unit <> chief").join(linked, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    inside = stored(inside.select("key", "unit", "component"), "line-components")
+    drop_stored(members)
+    more = cross_links(inside, texts, threshold)
+    drop_stored(texts, inside)
 
     linked = components(starred.union(more)).withColumnRenamed("node", "unit")
-    grouped = units.select("unit", "first", "n").join(linked, "unit", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "unit"))
+    grouped = units.select("unit", F.struct("known", "doc", "row", "number").alias("first"), "n").join(linked, "unit", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "unit"))
+    grouped = stored(grouped, "line-groups")
     stays = grouped.groupBy("component").agg(F.min("first").alias("stays"))
-    grouped = grouped.join(stays, "component").select("unit", F.col("stays.row").alias("its_row"), F.col("stays.number").alias("its_number"))
-    gone = seen.select("row", "number", "unit").join(grouped, "unit").where("row <> its_row or number <> its_number")
-    return gone.groupBy("row").agg(F.sort_array(F.collect_set("number")).alias("lines"))
+    grouped_ = grouped.join(stays, "component").select("unit", F.col("stays.row").alias("its_row"), F.col("stays.number").alias("its_number"))
+    gone = seen.join(grouped_, "unit").where("row <> its_row or number <> its_number")
+    gone = stored(gone.groupBy("row").agg(F.sort_array(F.collect_set("number")).alias("lines")), "lines-gone")
+    drop_stored(seen, units, starred, more, grouped)
+    return gone
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -169,7 +182,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = repeated_lines(docs, id_col, text_col, **options)
     text = F.col(text_col)
     rows = docs.select(F.col(id_col), row_key(F.col(id_col), text).alias("row"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long"))).join(gone, "row", "left")
+    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long"))).join(gone.hint("merge"), "row", "left")
     lines = F.coalesce("lines", F.array().cast("array<int>"))
     return rows.select(id_col, "n_lines", F.size(lines).cast("long").alias("n_removed"), F.array_join(lines.cast("array<string>"), ",").alias("removed"))
 
@@ -177,7 +190,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the repeated lines cut from their texts, and n_chars counted again if there is such a column."""
     gone = repeated_lines(docs, id_col, text_col, **options).select(F.col("row").alias("__row"), F.col("lines").alias("__lines"))
-    rows = docs.withColumn("__row", row_key(F.col(id_col), F.col(text_col))).join(gone, "__row", "left")
+    rows = docs.withColumn("__row", row_key(F.col(id_col), F.col(text_col))).join(gone.hint("merge"), "__row", "left")
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__lines", i)), "\n")
     rows = rows.withColumn("__text", F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(left))
     new = {text_col: F.col("__text")} | ({"n_chars": F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.char_length("__text").cast("long"))} if "n_chars" in docs.columns else {})

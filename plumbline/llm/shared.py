@@ -20,6 +20,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Whether Spark deletes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,22 +42,28 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read again: lineage ends here and a lost executor costs no recomputation.
 
-    The files go when the Spark application ends.
+    The shuffle files of the write go with it, as nothing reads them again; the table's when drop_stored is called or the Spark application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing will read again."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(parent)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def words_of(text: Column) -> Column:

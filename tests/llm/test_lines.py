@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from llm_corpus import prose
 from pyspark.sql import functions as F
 
@@ -13,11 +14,11 @@ def brute(rows):
     for i, text, *_ in sorted(rows, key=lambda x: x[0]):
         for k, line in enumerate((text or "").split("\n") if text is not None else []):
             line = line.strip(" \t\r").lower()
-            if len(line) >= lines.MIN_CHARS:
+            if any(c.isalnum() for c in line):
                 seen.append((i, k, line))
                 first.setdefault(line, (i, k))
     units = list(first)
-    sets = [frozenset(u[j : j + lines.SHINGLE] for j in range(len(u) - lines.SHINGLE + 1)) for u in units]
+    sets = [frozenset(u[j : j + lines.SHINGLE] for j in range(max(1, len(u) - lines.SHINGLE + 1))) for u in units]
     label, index = list(range(len(units))), defaultdict(list)
 
     def root(a):
@@ -89,12 +90,20 @@ def test_texts(spark):
         assert r["text"] == left and (r["n_chars"] == len(left) or r["doc_id"] not in want)
 
 
+def shared_bands(spark, pairs):
+    """For each pair of lines the number of bands that their signatures share."""
+    rows = [(2 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    found = {r["unit"]: set(r["bands"]) for r in lines.signed(spark.createDataFrame(rows, "unit long, line string").repartition(4)).collect()}
+    return [len(found[2 * i] & found[2 * i + 1]) for i in range(len(pairs))]
+
+
 def test_signatures_agree_as_jaccard_says(spark):
     r = random.Random(9)
     base = prose(r, 1)
     pairs = [(base, base), (base, base[:-1] + "!"), (base, prose(r, 1))]
-    got = spark.createDataFrame(pairs, "a string, b string").select(F.size(F.array_intersect(lines.bands(F.col("a")), lines.bands(F.col("b")))).alias("n"), lines.jaccard(lines.shingles(F.col("a")), lines.shingles(F.col("b"))).alias("j")).collect()
-    assert (got[0]["n"], got[0]["j"]) == (lines.BANDS, 1) and got[1]["n"] > 0 and got[1]["j"] > 0.9 and got[2]["n"] == 0
+    got = spark.createDataFrame(pairs, "a string, b string").select(lines.jaccard(lines.shingles(F.col("a")), lines.shingles(F.col("b"))).alias("j")).collect()
+    n = shared_bands(spark, pairs)
+    assert (n[0], got[0]["j"]) == (lines.BANDS, 1) and n[1] > 0 and got[1]["j"] > 0.9 and n[2] == 0
 
 
 def test_odd_and_empty(odd, empty):
@@ -103,12 +112,28 @@ def test_odd_and_empty(odd, empty):
     assert lines.line_report(empty).count() == 0
 
 
-def test_a_line_inside_a_longer_one_shares_a_band(spark):
-    """Pairs of Jaccard 0.8, 400 of 500 shingles, where one line begins the other."""
-    r = random.Random(7)
+@pytest.mark.parametrize("shared", [24, 80, 400, 1600])
+@pytest.mark.parametrize("contained", [True, False])
+def test_recall_at_the_threshold(spark, shared, contained):
+    """Pairs of Jaccard 0.8, short and long: one line begins the other, or both go on in their own way."""
+    r = random.Random(shared)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
     pairs = []
     for _ in range(400):
-        s = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(499 + lines.SHINGLE))
-        pairs.append((s, s[: 399 + lines.SHINGLE]))
-    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
-    assert df.where(F.arrays_overlap(lines.bands(F.col("a")), lines.bands(F.col("b")))).count() >= 392
+        s = letters(shared + lines.SHINGLE - 1)
+        pairs.append((s, s + letters(shared // 4)) if contained else (s + letters(shared // 8), s + letters(shared // 8)))
+    assert sum(n > 0 for n in shared_bands(spark, pairs)) >= 388
+
+
+def test_short_lines_repeat_only_if_equal(spark):
+    rows = [(1, "Yes.\n\n}\nab"), (2, "yes. \n\n}\nabc"), (3, "日本語です\n---\nYes!")]
+    got = {r["doc_id"]: r["removed"] for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "0", 3: ""}
+
+
+def test_very_long_lines(spark):
+    r = random.Random(5)
+    long = " ".join(prose(r, 1) for _ in range(2000)).replace("\n", " ")
+    rows = [(1, long), (2, long + " and a little more"), (3, long[: len(long) // 2])]
+    got = {r["doc_id"]: r["removed"] for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "0", 3: ""}
