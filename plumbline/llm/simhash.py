@@ -325,6 +325,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     kept = found.groupBy("component").agg(first).join(found.groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("__n")), "__row").select("__row", "__n")
     kept = stored(kept, "simhash-kept")
     drop_stored(found)
-    rows = docs.withColumn("__row", row_key(F.col(id_col), F.col(text_col))).join(kept, "__row")
+    rows = docs.withColumn("__row", row_key(F.col(id_col), F.col(text_col))).join(kept.hint("merge"), "__row")
     several = rows.where("__n > 1").dropDuplicates(["__row"])
     return rows.where("__n = 1").select(*docs.columns).union(several.select(*docs.columns))
