@@ -143,7 +143,6 @@ def cross_links(inside: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """row (see row_key) and lines: the sorted numbers of its lines that repeat another line that stays. A stored table."""
     lines = all_lines(docs, id_col, text_col)
-    seen = stored(lines.select("row", "number", "unit"), "lines")
     first = F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc", "row", "number")).alias("first")
     # lines that only share a hash, which a second one tells, are left alone
     units = lines.groupBy("unit").agg(first, F.count("*").alias("n"), (F.min("check") != F.max("check")).alias("mixed"), F.first("line").alias("line"))
@@ -152,9 +151,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = stored(units.join(signed(units, "known", "doc", "row", "number", "n").select("unit", "bands"), "unit"), "line-units")
 
     keyed = units.select("unit", "n", F.explode("bands").alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(keyed.join(several, "key"), "line-buckets")
     # the line that others are variants of is likely the one that occurs most often
-    several = keyed.groupBy("key").agg(F.max_by("unit", "n").alias("chief"), F.count("*").alias("size")).where("size > 1")
-    members = stored(keyed.drop("n").join(several, "key"), "line-buckets")
+    members = stored(shared.drop("n").join(shared.groupBy("key").agg(F.max_by("unit", "n").alias("chief")), "key"), "line-buckets")
+    drop_stored(shared)
     texts = units.select("unit", "line", "bands").join(members.select("unit").distinct(), "unit")
     texts = stored(texts.withColumn("size", F.size(shingles(F.col("line")))), "line-texts")
 
@@ -171,9 +172,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grouped = stored(grouped, "line-groups")
     stays = grouped.groupBy("component").agg(F.min("first").alias("stays"))
     grouped_ = grouped.join(stays, "component").select("unit", F.col("stays.row").alias("its_row"), F.col("stays.number").alias("its_number"))
-    gone = seen.join(grouped_, "unit").where("row <> its_row or number <> its_number")
+    gone = lines.select("row", "number", "unit").join(grouped_, "unit").where("row <> its_row or number <> its_number")
     gone = stored(gone.groupBy("row").agg(F.sort_array(F.collect_set("number")).alias("lines")), "lines-gone")
-    drop_stored(seen, units, starred, more, grouped)
+    drop_stored(units, starred, more, grouped)
     return gone
 
 
