@@ -46,7 +46,12 @@ def score_filter(rows: DataFrame, threshold: float, cmp: Cmp) -> DataFrame:
     return rows.where(compare(F.col("score"), cmp.value, F.lit(float(threshold)).cast("float")))
 
 
-def top(rows: DataFrame, k: int, take: TakeType) -> DataFrame:
-    """The k best rows in order: ties by row_id, then query."""
+#: Spark's limits are 32-bit numbers.
+MOST = 2**31 - 1
+
+
+def top(rows: DataFrame, k: int | None, take: TakeType) -> DataFrame:
+    """The k best rows in order, or all of them without k: ties by row_id, then query. All rows are sorted by ranges, over all tasks."""
     score = F.col("score").asc() if take is TakeType.Min else F.col("score").desc()
-    return rows.orderBy(score, F.col("row_id").asc(), F.col("query_idx").asc()).limit(k)
+    ordered = rows.orderBy(score, F.col("row_id").asc(), F.col("query_idx").asc())
+    return ordered if k is None else ordered.limit(min(k, MOST))

@@ -113,11 +113,13 @@ class VectorQuery:
         if isinstance(self._mask, DataFrame):
             rows = rows.join(self._mask.select("row_id", F.col("keep").alias("__keep")), "row_id", "left").where(F.coalesce("__keep", F.lit(True))).drop("__keep")
         elif self._mask is not None:
-            rows = rows.where(~F.col("row_id").isin([i for i, keep in enumerate(self._mask) if not keep]))
+            hidden = [(i,) for i, keep in enumerate(self._mask) if not keep]
+            rows = rows.join(rows.sparkSession.createDataFrame(hidden, "row_id long"), "row_id", "left_anti")
         rows = ranking.scored(rows, self._queries, self._metric, self._arrow)
         if self._filter is not None:
             rows = ranking.score_filter(rows, *self._filter)
-        count = len(self._store) if self._count is None else self._count
+        # one query has a score for each row at most, so that without a take there is nothing to cut
+        count = self._count if self._count is not None or len(self._queries) == 1 else len(self._store)
         return ranking.top(rows, count, self._take or TakeType.Max).select(F.col("row_id").alias("index"), "score", "query_idx")
 
     def collect(self) -> list[SearchResult]:
@@ -235,7 +237,7 @@ class StoreQuery:
         rows = ranking.scored(self._candidates(), self._queries, self._metric, self._arrow)
         if self._filter is not None:
             rows = ranking.score_filter(rows, *self._filter)
-        count = self._store.n_rows() if self._count is None else self._count
+        count = self._count if self._count is not None or len(self._queries) == 1 else self._store.n_rows()
         return ranking.top(rows, count, self._take).select(F.col("row_id").alias("index"), "score", *(F.col(f"`{c}`") for c in names), "query_idx")
 
     def collect(self) -> QueryResults:

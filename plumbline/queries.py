@@ -7,7 +7,8 @@ metrics would else agree. Scores are single precision; they are shown to four de
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,6 +154,19 @@ def equal_to_row(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
 for _column, _cast in (("value", "DOUBLE"), ("value32", "FLOAT")):
     _same = f"({_column} = CAST((SELECT value FROM events WHERE event_id = 10) AS {_cast}) OR {_column} < 0)"
     register(f"meta_equal_{_column}", partial(equal_to_row, column=_column), sql(Metric.Cosine, _same, 25))
+
+
+def _hourly(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+
+
+def equal_to_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality with the hours of three rows."""
+    hours = _hourly(base(spark, sf_dir)).where("vec_id in (3, 10, 17)").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).collect()
+    return filtered(spark, sf_dir, reduce(or_, (col("ts").eq(h[0]) for h in hours)), change=_hourly)
+
+
+register("meta_equal_ts", equal_to_times, sql(Metric.Cosine, "ts IN (SELECT ts FROM base WHERE row_id IN (3, 10, 17))", 25, base_sql=BASE.replace(", ts\n", ", date_trunc('hour', ts) AS ts\n")))
 register("meta_eq_str", lambda s, d: filtered(s, d, col("event_type").eq("click")), sql(Metric.Cosine, "event_type = 'click'", 25))
 register("meta_neq_str", lambda s, d: filtered(s, d, col("event_type").neq("click")), sql(Metric.Cosine, "event_type <> 'click'", 25))
 register("meta_i32_wide_literal", lambda s, d: filtered(s, d, col("label").lt(3_000_000_000)), sql(Metric.Cosine, "label < 3000000000", 25))

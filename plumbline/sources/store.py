@@ -45,9 +45,9 @@ class StoreBuilder:
     def with_column(self, name: str, column: Column) -> StoreBuilder:
         """Set the values of a column of the schema; name counts, not the column's own."""
         if name not in self.schema:
-            raise BuildError(f"unknown column '{name}'")
+            raise BuildError(f"unknown column '{name}' not present in schema")
         if column.dtype is not self.schema[name]:
-            raise BuildError(f"column '{name}' has type {column.dtype.name}, expected {self.schema[name].name}")
+            raise BuildError(f"dtype mismatch for column '{name}': schema {self.schema[name].name}, got {column.dtype.name}")
         self._columns[name] = column
         return self
 
@@ -101,7 +101,7 @@ class MetaStore:
                 raise SchemaError(f"a column can't be named '{name}'")
         began = time.perf_counter()
         self.spark, self.schema, self.dim, self.chunk_size, self.bloom = table.sparkSession, dict(schema), dim, chunk_size, bloom
-        rows = prepared(table, row_id, vec, list(schema))
+        rows = prepared(table, row_id, vec, list(schema), dim)
         self.rows = rows.withColumn("chunk_id", F.floor(F.col("row_id") / chunk_size).cast("long"))
         ingested = time.perf_counter()
         self.zones = zonemaps.build(self.rows, self.schema, bloom, chunk_size).persist()
@@ -137,6 +137,15 @@ class MetaStore:
         first = df.select(F.size(vec).alias("n")).first()
         return cls(df, schema, first["n"] if first else 0, max(1, chunk_size), bloom or BloomConfig(), row_id=row_id, vec=vec, stats=True)
 
+    @property
+    def columns(self) -> dict[str, DataFrame]:
+        """For each metadata column its values by row_id."""
+        return {name: self.rows.select("row_id", F.col(f"`{name}`")) for name in self.schema}
+
+    def close(self) -> None:
+        """Let the zone map go from memory; a later query makes it again."""
+        self.zones.unpersist()
+
     def n_chunks(self) -> int:
         return self._n_chunks
 

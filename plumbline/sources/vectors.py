@@ -15,12 +15,15 @@ from plumbline.types import EngineError, Metric, SchemaError
 ROWS = T.StructType([T.StructField("row_id", T.LongType(), False), T.StructField("vec", T.ArrayType(T.FloatType(), False), False)])
 
 
-def prepared(df: DataFrame, row_id: str, vec: str, extra: Sequence[str] = ()) -> DataFrame:
-    """row_id, vec (single precision), inv_norm and extra columns of df."""
+def prepared(df: DataFrame, row_id: str, vec: str, extra: Sequence[str] = (), dim: int | None = None) -> DataFrame:
+    """row_id, vec (single precision), inv_norm and extra columns of df. With dim, a row of another dimension fails the query that reads it."""
     kind = df.schema[vec].dataType
     if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
         raise SchemaError(f"column '{vec}' is not an array of floats")
     v = F.col(f"`{vec}`").cast("array<float>")
+    if dim is not None:
+        wrong = F.concat(F.lit("Input vector length "), F.size(v).cast("string"), F.lit(f" does not match expected dimension {dim}"))
+        v = F.when(v.isNull() | (F.size(v) == dim), v).otherwise(F.raise_error(wrong).cast("array<float>"))
     return df.select(F.col(f"`{row_id}`").cast("long").alias("row_id"), v.alias("vec"), V.inverse_norm(v).alias("inv_norm"), *(F.col(f"`{c}`") for c in extra))
 
 
@@ -62,7 +65,7 @@ class VectorStore:
     def rows(self) -> DataFrame:
         """row_id, vec, inv_norm."""
         table = self._table if self._table is not None else self.spark.createDataFrame(list(enumerate(self._added)), ROWS)
-        return prepared(table, "row_id", "vec")
+        return prepared(table, "row_id", "vec", dim=self.dim if self._table is not None else None)
 
     def query(self, queries: Sequence, metric: Metric) -> VectorQuery:
         return VectorQuery().with_vector_store(self).with_query_vectors(queries).with_metric(metric)

@@ -11,7 +11,7 @@ from plumbline import queries
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
-SOME = ["cosine_topk", "l2_topk_arrow", "batch_no_take", "row_mask_topk", "meta_cnf", "meta_tautology_distributed", "meta_nan_neq", "zone_map", "pruned_chunks", "query_stats", "parse_datetimes", "standing_query"]
+SOME = ["cosine_topk", "l2_no_take_bare", "l2_no_take_store", "meta_equal_ts", "l2_topk_arrow", "batch_no_take", "row_mask_topk", "meta_cnf", "meta_tautology_distributed", "meta_nan_neq", "zone_map", "pruned_chunks", "query_stats", "parse_datetimes", "standing_query"]
 
 
 def plain(row):

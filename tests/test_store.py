@@ -158,3 +158,25 @@ def test_wide_characters():
 
     assert len({len(x) for x in table(["a"], [["é"], ["é"]]).split("\n")[:3]}) == 1
     assert table(["a"], [["日本"]]).split("\n")[0] == "+------+"
+
+
+def test_columns_by_name(spark):
+    schema = [("a", DataType.Int32)]
+    store = MetaStore.from_schema(spark, schema).with_column("a", Column("a", DataType.Int32).from_values([5, None])).with_vectors([[1.0], [2.0]]).build()
+    assert list(store.columns) == ["a"]
+    assert sorted(map(tuple, store.columns["a"].collect())) == [(0, 5), (1, None)]
+    store.close()
+    assert store.query([1.0], Metric.DotProduct).collect().indices == [1, 0]
+
+
+def test_a_row_of_another_dimension_fails(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0])], "id long, v array<float>").coalesce(1)
+    for store in (MetaStore.from_dataframe(df, "v", "id"),):
+        with pytest.raises(Exception, match="does not match expected dimension"):
+            store.query([1.0, 2.0], Metric.Cosine).collect()
+
+
+def test_no_take_sorts_by_ranges(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, v array<float>")
+    plan = MetaStore.from_dataframe(df, "v", "id").query([1.0, 2.0], Metric.Euclidean).dataframe()._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "TakeOrdered" not in plan
