@@ -7,7 +7,7 @@ lower, the more it is like the target.
 
 No table of bigrams is collected or broadcast, since it grows with the corpus. Documents are dealt into groups in the order in which they are read, each of GROUP_ROWS
 documents and GROUP_CHARS characters at most (a single longer text is a group): what ids or texts they have doesn't matter, so that no id or group of copies
-makes a large one. A group lists its distinct bigrams with their counts once. Summed over groups these lists are the background model; joined with the
+makes a large one. Texts are encoded once, and their ids stored. A group lists its distinct bigrams with their counts once. Summed over groups these lists are the background model; joined with the
 models by bigram, they come back to their group with the counts that the group's documents need. Only the counts of single ids, as many as the vocabulary has,
 go to every worker.
 
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,32 +40,40 @@ def bigrams(ids: np.ndarray, size: int) -> np.ndarray:
     return before.astype(np.int64) * (size + 1) + ids
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, group_rows: int) -> DataFrame:
-    """group, doc_id, text: a stored table, since groups must be the same whenever it is read."""
+def id_type(size: int) -> str:
+    """How the ids of a vocabulary of that size are stored."""
+    return "<u2" if size < 1 << 16 else "<u4"
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, group_rows: int, tokenizer_path: str, size: int) -> DataFrame:
+    """group, doc_id, ids (of id_type): a stored table, since groups must be the same whenever it is read."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, chars = TaskContext.get().partitionId() << 32, 0, 0
+        model, group, rows, chars = word_ids(tokenizer_path), TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            groups = np.zeros(batch.num_rows, np.int64)
-            for i, size in enumerate(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()):
-                if rows and (rows >= group_rows or chars + size > GROUP_CHARS):
-                    group, rows, chars = group + 1, 0, 0
-                rows, chars = rows + 1, chars + size
-                groups[i] = group
-            yield pa.RecordBatch.from_arrays([pa.array(groups), *batch.columns], ["group", "doc_id", "text"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                texts, groups = [t or "" for t in some.column(1).to_pylist()], []
+                for text in texts:
+                    if rows and (rows >= group_rows or chars + len(text) > GROUP_CHARS):
+                        group, rows, chars = group + 1, 0, 0
+                    rows, chars = rows + 1, chars + len(text)
+                    groups.append(group)
+                ids = [np.frombuffer(x, "<u4").astype(id_type(size)).tobytes() for x in model.encode(texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), some.column(0), pa.array(ids, pa.binary())], ["group", "doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(dealt, "group long, doc_id long, text string"), "lm-docs")
+    return stored(rows.mapInArrow(dealt, "group long, doc_id long, ids binary"), "lm-docs")
 
 
-def counted(rows: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
+def counted(rows: DataFrame, size: int) -> DataFrame:
     """group, bigram, n."""
 
     def count(table: pa.Table) -> pa.Table:
-        model, texts = word_ids(tokenizer_path), table.column("text").to_pylist()
+        texts = table.column("ids").to_pylist()
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for i in range(0, len(texts), TOGETHER):
-            found = [bigrams(np.frombuffer(x, "<u4").astype(np.int64), size) for x in model.encode([t or "" for t in texts[i : i + TOGETHER]])]
+            found = [bigrams(np.frombuffer(x, id_type(size)).astype(np.int64), size) for x in texts[i : i + TOGETHER]]
             new, more = np.unique(np.concatenate(found), return_counts=True)
             both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
             keys, n = both, np.bincount(where, np.concatenate([n, more]), len(both)).astype(np.int64)
@@ -88,9 +95,9 @@ def singles(model: DataFrame, count: str, size: int) -> tuple[np.ndarray, np.nda
 def score(docs: DataFrame, target: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", target_id: str = "item_id", target_text: str = "text", group_rows: int = GROUP_ROWS, prior: float = PRIOR) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background (nats a token) and score for each row of docs."""
     size = WordIds(tokenizer_path).tokenizer.get_vocab_size()
-    rows = grouped(docs, id_col, text_col, group_rows)
-    wanted = stored(counted(rows, tokenizer_path, size), "lm-groups")
-    target_counts = counted(grouped(target, target_id, target_text, group_rows), tokenizer_path, size).groupBy("bigram").agg(F.sum("n").alias("c_target"))
+    rows = grouped(docs, id_col, text_col, group_rows, tokenizer_path, size)
+    wanted = stored(counted(rows, size), "lm-groups")
+    target_counts = counted(grouped(target, target_id, target_text, group_rows, tokenizer_path, size), size).groupBy("bigram").agg(F.sum("n").alias("c_target"))
     models = wanted.groupBy("bigram").agg(F.sum("n").alias("c_background")).join(target_counts, "bigram", "full")
     models = stored(models, "lm-models")
     tables = docs.sparkSession.sparkContext.broadcast([singles(models, c, size) for c in ("c_target", "c_background")])
@@ -109,14 +116,12 @@ def score(docs: DataFrame, target: DataFrame, tokenizer_path: str, *, id_col: st
         order = np.argsort(key)
         key = key[order]
         loss = [losses(key, right.column(c).to_numpy()[order], t) for c, t in zip(("c_target", "c_background"), tables.value, strict=True)]
-        model, texts, ids = word_ids(tokenizer_path), left.column("text").to_pylist(), left.column("doc_id").to_pylist()
         out = []
-        for i in range(0, len(texts), TOGETHER):
-            for doc, x in zip(ids[i : i + TOGETHER], model.encode([t or "" for t in texts[i : i + TOGETHER]]), strict=True):
-                at = np.searchsorted(key, bigrams(np.frombuffer(x, "<u4").astype(np.int64), size))
-                n = len(at)
-                a, b = (float(s[at].sum()) / n if n else None for s in loss)
-                out.append((doc, n, round(a, 6), round(b, 6), round(a - b, 6)) if n else (doc, 0, None, None, None))
+        for doc, x in zip(left.column("doc_id").to_pylist(), left.column("ids").to_pylist(), strict=True):
+            at = np.searchsorted(key, bigrams(np.frombuffer(x, id_type(size)).astype(np.int64), size))
+            n = len(at)
+            a, b = (float(s[at].sum()) / n if n else None for s in loss)
+            out.append((doc, n, round(a, 6), round(b, 6), round(a - b, 6)) if n else (doc, 0, None, None, None))
         columns = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds, strict=True)})
 

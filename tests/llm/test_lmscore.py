@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 from tokenizers import Tokenizer
 
 from plumbline.llm import lmscore
@@ -59,12 +60,16 @@ def test_odd_and_empty(spark, odd, empty, path):
     assert lmscore.score(empty, target, path("word_bpe_49k.json")).count() == 0
 
 
-def test_groups_are_bounded_whatever_the_ids(spark, monkeypatch):
+def test_groups_are_bounded_whatever_the_ids(spark, monkeypatch, path):
     """Copies and null ids, a third of all rows, don't share a group; nor do long texts."""
     monkeypatch.setattr(lmscore, "GROUP_CHARS", 5000)
+    file = path("word_bpe_49k.json")
     rows = [(None, "the same text")] * 300 + [(i, "text " * (i % 400)) for i in range(300)] + [(7, None)] * 300 + [(1, "x" * 9000)]
-    groups = lmscore.grouped(spark.createDataFrame(rows, "id long, t string").coalesce(2), "id", "t", 50).collect()
+    chars = {(i, t): len(t or "") for i, t in rows}
+    tokens = Tokenizer.from_file(file)
     sizes = {}
+    groups = lmscore.grouped(spark.createDataFrame(rows, "id long, t string").coalesce(2), "id", "t", 50, file, tokens.get_vocab_size()).collect()
+    names = {(i, tuple(tokens.encode(t or "", add_special_tokens=False).ids)): n for (i, t), n in chars.items()}
     for r in groups:
-        sizes.setdefault(r["group"], []).append(len(r["text"] or ""))
+        sizes.setdefault(r["group"], []).append(names[r["doc_id"], tuple(np.frombuffer(r["ids"], "<u2").tolist())])
     assert len(groups) == len(rows) and all(len(x) <= 50 and (len(x) == 1 or sum(x) <= 5000) for x in sizes.values())
