@@ -33,6 +33,8 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 4
 #: Lines that are compared with twice as many others in one row.
 BLOCK = 32
+#: Blocks on a side of a grid cell.
+CELL = 8
 
 
 def normal(line: Column) -> Column:
@@ -97,27 +99,38 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.where(alike).select("a", "b")
 
 
-def blocks(members: DataFrame, counts: DataFrame, texts: DataFrame, size: int, name: str) -> DataFrame:
-    """key and an array of some `size` of a bucket's members, with their lines. counts: how many a key has."""
-    rows = members.join(counts, "key").join(texts, "unit").withColumn("part", F.pmod(F.xxhash64("unit"), F.ceil(F.col("count") / size)))
+def blocks(members: DataFrame, texts: DataFrame, size: int, count: str, name: str) -> DataFrame:
+    """key, part, and an array of some `size` of a bucket's members, with their lines. count: the column that says how many there are in the bucket."""
+    part = F.pmod(F.xxhash64("unit"), F.ceil(F.col(count) / size)).alias("part")
     # the bands before this key's: a pair that shares one of them is compared there
     before = F.slice("bands", F.lit(1), F.array_position("bands", F.col("key")).cast("int") - 1).alias("before")
-    return rows.groupBy("key", "part").agg(F.collect_list(F.struct("unit", "component", "outer", before, "size", "line")).alias(name)).drop("part")
+    row = F.struct("unit", "component", "outer", before, "size", "line")
+    return members.join(texts, "unit").groupBy("key", "n_outer", "n_all", part).agg(F.collect_list(row).alias(name))
+
+
+def cells(count: str, size: int) -> Column:
+    """Into how many runs of CELL blocks a bucket's blocks of `size` members are dealt."""
+    return F.ceil(F.ceil(F.col(count) / size) / CELL)
 
 
 def cross_links(inside: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between the components inside each bucket.
 
     A member outside the bucket's largest component is compared with all members of other components, block by block: a row holds two blocks, and gives
-    its links only. Shingle sets are made once in a row, and only of lines that have a partner to be compared with. A pair of several common buckets is compared
-    in the first.
+    its links only. A bucket's blocks are dealt into a grid of cells, each a task's key of its own with at most CELL blocks a side on average, so that no bucket
+    is one task's work; a block goes to a row or a column of cells. Shingle sets are made once in a row, and only of lines that have a partner to be compared
+    with. A pair of several common buckets is compared in the first.
     """
-    largest = inside.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    members = stored(inside.join(largest, "key").select("key", "unit", "component", (F.col("component") != F.col("largest")).alias("outer")), "line-members")
-    outer = members.where("outer")
-    n_outer = outer.groupBy("key").count()
-    n_all = members.groupBy("key").count()
-    pairs = blocks(outer, n_outer, texts, BLOCK, "xs").join(blocks(members, n_all, texts, 2 * BLOCK, "ys"), "key")
+    kinds = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
+    kinds = kinds.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n_all"), F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = kinds.select("key", F.col("largest.component").alias("largest"), (F.col("n_all") - F.col("largest.n")).alias("n_outer"), "n_all")
+    members = stored(inside.join(kinds, "key").select("key", "unit", "component", (F.col("component") != F.col("largest")).alias("outer"), "n_outer", "n_all"), "line-members")
+    x_cells, y_cells = cells("n_outer", BLOCK), cells("n_all", 2 * BLOCK)
+    xs = blocks(members.where("outer"), texts, BLOCK, "n_outer", "xs")
+    xs = xs.select("key", F.pmod("part", x_cells).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), y_cells - 1)).alias("j"), "xs")
+    ys = blocks(members, texts, 2 * BLOCK, "n_all", "ys")
+    ys = ys.select("key", F.explode(F.sequence(F.lit(0).cast("long"), x_cells - 1)).alias("i"), F.pmod("part", y_cells).alias("j"), "ys")
+    pairs = xs.join(ys.hint("merge"), ["key", "i", "j"])
 
     def new(x: Column, y: Column) -> Column:
         """Whether the pair is to be compared here."""
