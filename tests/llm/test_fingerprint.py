@@ -24,6 +24,46 @@ def test_likeness():
     assert P.likeness(h.of(""), h.of(" ")) < 1
 
 
+def by_the_book(text):
+    """The fingerprint by plain integers, word by word, from what the module's description says."""
+    hashed = lambda b, n: hashlib.blake2b(b, digest_size=n).digest()
+    lanes, sketch = [0] * P.LANES, [0] * P.SKETCH
+    for paragraph in text.encode().split(b"\n"):
+        for k in range(P.LANES):
+            lanes[k] = (lanes[k] + int.from_bytes(hashed(paragraph, 8 * P.LANES)[8 * k : 8 * k + 8], "little")) % 2**64
+        words = [int.from_bytes(hashed(w, 8), "little") for w in paragraph.split()]
+        for some in [words[i : i + 3] for i in range(len(words) - 2)] or [words]:
+            x = 0x9E3779B97F4A7C15
+            for w in some:
+                x = ((x ^ w) * 0xFF51AFD7ED558CCD) % 2**64
+                x ^= x >> 32
+            sketch[x % P.SKETCH] += 1 if x >> 40 & 1 else -1
+    return b"".join(x.to_bytes(8, "little") for x in lanes) + b"".join((x % 2**16).to_bytes(2, "little") for x in sketch)
+
+
+def cosine(a, b):
+    """Of the sketches of two fingerprints, whose numbers are signed."""
+    x, y = ([int.from_bytes(f[i : i + 2], "little", signed=True) for i in range(8 * P.LANES, len(f), 2)] for f in (a, b))
+    size = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+    return sum(v * w for v, w in zip(x, y, strict=True)) / size if size else 0.0
+
+
+def test_against_plain_integers(rows):
+    h, texts = P.Hasher(), ["", "\n", "\n\n", " \t ", "one", "one two", "a\na\na", *(t for _, t, *_ in rows if t)]
+    found = [h.of(t) for t in texts]
+    assert found == [by_the_book(t) for t in texts]
+    for a, b in zip(found, found[1:], strict=False):
+        assert P.likeness(a, b) == (1 if a == b else pytest.approx(min(0.999999, max(0, cosine(a, b))), abs=1e-6))
+
+
+def test_sums_wrap():
+    """More paragraphs than 16 bits count, all alike: their sum is their number times one, modulo the power."""
+    n = 2**16 + 3
+    one, many = P.Hasher().of("just these words"), P.Hasher().of("\n".join(["just these words"] * n))
+    for k, (x, y) in enumerate(zip(P.parts(one), P.parts(many), strict=True)):
+        assert [int(v) * n % 2 ** (64, 16)[k] for v in x] == [int(v) for v in y]
+
+
 @pytest.mark.parametrize("range_rows", [7, 10**6])
 def test_edits(docs, rows, range_rows):
     got = {r["doc_id"]: r for r in P.with_edits(docs, range_rows=range_rows).collect()}
