@@ -95,13 +95,13 @@ class StoreBuilder:
 
 
 class MetaStore:
-    def __init__(self, table: DataFrame, schema: dict[str, DataType], dim: int, chunk_size: int, bloom: BloomConfig, *, row_id: str = "row_id", vec: str = "vec", stats: bool) -> None:
+    def __init__(self, table: DataFrame, schema: dict[str, DataType], dim: int, chunk_size: int, bloom: BloomConfig, *, row_id: str = "row_id", vec: str = "vec", inv_norm: str | None = None, stats: bool) -> None:
         for name in schema:
             if name in RESERVED or "`" in name:
                 raise SchemaError(f"a column can't be named '{name}'")
         began = time.perf_counter()
         self.spark, self.schema, self.dim, self.chunk_size, self.bloom = table.sparkSession, dict(schema), dim, chunk_size, bloom
-        rows = prepared(table, row_id, vec, list(schema), dim)
+        rows = prepared(table, row_id, vec, list(schema), dim, inv_norm)
         self.rows = rows.withColumn("chunk_id", F.floor(F.col("row_id") / chunk_size).cast("long"))
         ingested = time.perf_counter()
         self.zones = zonemaps.build(self.rows, self.schema, bloom, chunk_size).persist()
@@ -127,21 +127,26 @@ class MetaStore:
         return StoreBuilder(spark, dict(schema), {name: Column(name, kind) for name, kind in schema})
 
     @classmethod
-    def from_dataframe(cls, df: DataFrame, vec: str, row_id: str, columns: Sequence[str] | None = None, *, chunk_size: int = CHUNK_SIZE, bloom: BloomConfig | None = None) -> MetaStore:
+    def from_dataframe(cls, df: DataFrame, vec: str, row_id: str, columns: Sequence[str] | None = None, *, chunk_size: int = CHUNK_SIZE, bloom: BloomConfig | None = None, inv_norm: str | None = None) -> MetaStore:
         """A store over a DataFrame, for instance of Parquet files: row_id numbers its rows from 0, vec has the vectors, other columns (all, or those named) are
-        metadata. Files that are sorted by row_id are read only where chunks stay."""
-        names = [c for c in df.columns if c not in (vec, row_id)] if columns is None else list(columns)
+        metadata. Files that are sorted by row_id are read only where chunks stay. inv_norm names a column of stored inverse norms; `save` writes
+        files of both kinds."""
+        names = [c for c in df.columns if c not in (vec, row_id, inv_norm)] if columns is None else list(columns)
         schema = {c: DataType.of(df.schema[c].dataType, c) for c in names}
         zoned = {c: F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")) for c in names if isinstance(df.schema[c].dataType, T.TimestampType)}
         df = df.withColumns(zoned) if zoned else df
         first = df.select(F.size(vec).alias("n")).first()
-        return cls(df, schema, first["n"] if first else 0, max(1, chunk_size), bloom or BloomConfig(), row_id=row_id, vec=vec, stats=True)
+        return cls(df, schema, first["n"] if first else 0, max(1, chunk_size), bloom or BloomConfig(), row_id=row_id, vec=vec, inv_norm=inv_norm, stats=True)
 
     @property
     def columns(self) -> dict[str, DataFrame]:
         """For each metadata column its values by row_id."""
         return {name: self.rows.select("row_id", F.col(f"`{name}`")) for name in self.schema}
 
+    def save(self, path: str) -> None:
+        """Write row_id, vec, inv_norm and the columns as Parquet, sorted by row_id, to be read with inv_norm="inv_norm"."""
+        self.rows.drop("chunk_id").orderBy("row_id").write.parquet(path)
+
     def close(self) -> None:
         """Let the zone map go from memory; a later query makes it again."""
         self.zones.unpersist()

@@ -180,3 +180,14 @@ def test_no_take_sorts_by_ranges(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, v array<float>")
     plan = MetaStore.from_dataframe(df, "v", "id").query([1.0, 2.0], Metric.Euclidean).dataframe()._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and "TakeOrdered" not in plan
+
+
+def test_stored_norms(spark, zoned, tmp_path):
+    path = str(tmp_path / "zoned")
+    zoned.save(path)
+    kept = MetaStore.from_dataframe(spark.read.parquet(path), "vec", "row_id", inv_norm="inv_norm", chunk_size=zoned.chunk_size)
+    assert kept.schema == zoned.schema
+    both = [s.query([0.3, 0.7], Metric.Cosine).meta_filter(col("grade").eq("A")).take(9).collect() for s in (zoned, kept)]
+    assert both[0].indices == both[1].indices and len(both[0].indices) > 0
+    with pytest.raises(SchemaError):
+        MetaStore.from_dataframe(spark.read.parquet(path), "vec", "row_id")

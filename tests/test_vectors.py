@@ -115,3 +115,13 @@ def test_plan(plane, capsys):
     plane.query([1.0, 0.0], Metric.Cosine).take(2).dataframe().explain()
     plan = capsys.readouterr().out
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+
+
+def test_stored_norms(spark, plane, tmp_path):
+    path = str(tmp_path / "plane")
+    plane.save(path)
+    kept = VectorStore.from_dataframe(spark.read.parquet(path), "vec", "row_id", inv_norm="inv_norm")
+    both = [s.query([1.0, 0.5], Metric.Cosine).take(4).collect() for s in (plane, kept)]
+    assert [(r.index, r.score) for r in both[0]] == [(r.index, r.score) for r in both[1]]
+    plans = [s.rows().select("inv_norm")._jdf.queryExecution().optimizedPlan().toString().lower() for s in (plane, kept)]
+    assert ["sqrt" in p for p in plans] == [True, False]
