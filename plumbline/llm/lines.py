@@ -4,8 +4,9 @@ A line is compared trimmed and in lower case; lines without a letter or digit (b
 alike if the Jaccard similarity of their sets of SHINGLE-character shingles is THRESHOLD or more, directly or through others (of a line shorter than a shingle
 the whole line is the one shingle, so that short lines repeat only if they are equal):
 
-1. Signatures: each shingle of a unit is a row and is hashed once; BANDS * ROWS minima, each of the hash under a permutation of its own, are one partial
-   aggregation. ROWS minima make a band. Units, not lines, are signed.
+1. Signatures: each shingle of a unit is a row and is hashed once; BANDS * ROWS minima are taken, each of the hash under a permutation of its own. The range
+   of hashes is cut in parts, and a shingle meets the minima of its part only; the parts' minima make the unit's. ROWS minima make a band. Units, not
+   lines, are signed.
 2. Banding: units with an equal band share a bucket. Each is compared with the bucket's most frequent unit first. After these links are merged,
    whatever isn't in a bucket's largest component is compared, block by block, with all of the bucket that is in another component: so
    every pair of a bucket is linked, compared, or inside one component, and no pairs are listed but links.
@@ -27,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.shared import drop_stored, let, settled, stored
+from plumbline.llm.shared import drop_stored, let, stored
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 4
+#: The leading bits of a hash, which name its part of the range. 2 ** TOP parts by BANDS * ROWS >> TOP low masks (of no common factor) are all permutations.
+TOP = 3
 #: Lines that are compared with twice as many others in one row.
 BLOCK = 32
 #: Blocks on a side of a grid cell.
@@ -61,17 +64,32 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), lambda p: let(F.size(F.array_intersect(p["a"], p["b"])), lambda n: n / (F.size(p["a"]) + F.size(p["b"]) - n).cast("double")))
 
 
-def signed(units: DataFrame, *keep: str) -> DataFrame:
-    """unit, the columns of keep (numbers) and bands, BANDS hashes of its signature, for units with a column line.
+def constant(bits: int) -> Column:
+    """64 bits as a long."""
+    return F.lit(bits - (bits >> 63 << 64)).cast("long")
 
-    All shingles of all lines count. A permutation of the hashes is an exclusive or with a constant.
-    """
+
+def low_masks() -> list[int]:
     draw = random.Random(17)
-    masks = [draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
-    rows = units.select("unit", *keep, F.encode("line", "UTF-32").alias("points"), starts(F.col("line")).alias("starts")).select("unit", *keep, "points", F.explode("starts").alias("start"))
-    rows = rows.select("unit", *keep, shingle(F.col("points"), F.col("start")).alias("hash"))
-    least = rows.groupBy("unit", *keep).agg(*(F.min(F.col("hash").bitwiseXOR(F.lit(m).cast("long"))).alias(f"m{k}") for k, m in enumerate(masks)))
-    return least.select("unit", *keep, F.array(*(F.xxhash64(F.lit(j), *(f"m{j * ROWS + k}" for k in range(ROWS))) for j in range(BANDS))).alias("bands"))
+    return [draw.getrandbits(64 - TOP) for _ in range(BANDS * ROWS >> TOP)]
+
+
+def permutations() -> list[tuple[int, int]]:
+    """For each minimum of a signature the low mask and the part that make its permutation. Those of a band have no mask and no part in common."""
+    return [(k % (BANDS * ROWS >> TOP), k % (1 << TOP)) for k in range(BANDS * ROWS)]
+
+
+def signed(units: DataFrame) -> DataFrame:
+    """unit and bands, BANDS hashes of its signature, for units with a column line.
+
+    All shingles of all lines count. A permutation of the hashes is an exclusive or with a constant: a low mask orders the hashes within each part, and
+    the leading bits order the parts. So the least hash under it is the least one, by the low mask, of the first part that has any.
+    """
+    rows = units.select("unit", F.encode("line", "UTF-32").alias("points"), starts(F.col("line")).alias("starts")).select("unit", "points", F.explode("starts").alias("start"))
+    rows = rows.select("unit", shingle(F.col("points"), F.col("start")).alias("hash"))
+    parts = rows.groupBy("unit", F.shiftrightunsigned("hash", 64 - TOP).alias("part")).agg(*(F.min(F.col("hash").bitwiseXOR(constant(m))).alias(f"low{i}") for i, m in enumerate(low_masks())))
+    least = parts.groupBy("unit").agg(*(F.min(F.col(f"low{i}").bitwiseXOR(constant(part << (64 - TOP)))).alias(f"m{k}") for k, (i, part) in enumerate(permutations())))
+    return least.select("unit", F.array(*(F.xxhash64(F.lit(j), *(f"m{j * ROWS + k}" for k in range(ROWS))) for j in range(BANDS))).alias("bands"))
 
 
 def row_key(id_: Column, text: Column) -> Column:
@@ -91,12 +109,24 @@ def close(m: Column, n: Column, threshold: float) -> Column:
     return F.least(m, n) >= threshold * F.greatest(m, n)
 
 
+def fixed(column: Column) -> Column:
+    """column, of which Catalyst thinks that it isn't deterministic: a filter by it stays above the projection that makes it, and it is made once."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
+def alike(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The rows (a, b, set_a, set_b) whose sets are, as (a, b). Sets are intersected in generated code, which lambdas would leave."""
+    n, both = F.col("n"), F.col("both")
+    counted = pairs.select("a", "b", fixed(F.size(F.array_intersect("set_a", "set_b"))).alias("n"), (F.size("set_a") + F.size("set_b")).alias("both"))
+    return counted.where(n / (both - n).cast("double") >= threshold).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of units whose shingle sets are alike."""
     a, b = (texts.select(F.col("unit").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
-    alike = F.when(close(F.col("size_a"), F.col("size_b"), threshold), jaccard(shingles(F.col("line_a")), shingles(F.col("line_b"))) >= threshold).otherwise(False)
-    return both.where(alike).select("a", "b")
+    both = both.where(close(F.col("size_a"), F.col("size_b"), threshold))
+    return alike(both.select("a", "b", shingles(F.col("line_a")).alias("set_a"), shingles(F.col("line_b")).alias("set_b")), threshold)
 
 
 def blocks(members: DataFrame, texts: DataFrame, size: int, count: str, name: str) -> DataFrame:
@@ -145,7 +175,7 @@ def cross_links(inside: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 
     open_xs = F.filter("xs", lambda x: F.exists("ys", lambda y: new(x, y)))
     open_ys = F.filter("ys", lambda y: F.exists("xs", lambda x: new(x, y)))
-    both = pairs.select(open_xs.alias("xs"), open_ys.alias("ys")).where(settled(F.size("xs") > 0))
+    both = pairs.select(fixed(open_xs).alias("xs"), open_ys.alias("ys")).where(F.size("xs") > 0)
     both = both.select(sets(F.col("xs")).alias("xs"), sets(F.col("ys")).alias("ys"))
     links = both.select(F.explode(let(F.struct("xs", "ys"), lambda p: found(p["xs"], p["ys"]))).alias("x")).select("x.*")
     links = stored(links, "line-links")
@@ -160,8 +190,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # lines that only share a hash, which a second one tells, are left alone
     units = lines.groupBy("unit").agg(first, F.count("*").alias("n"), (F.min("check") != F.max("check")).alias("mixed"), F.first("line").alias("line"))
     units = units.where("not mixed").select("unit", "first.*", "n", "line")
-    # both sides of this join read one shuffle: its columns are all kept on either side
-    units = stored(units.join(signed(units, "known", "doc", "row", "number", "n").select("unit", "bands"), "unit"), "line-units")
+    # both sides of this join read one shuffle, as the side that is signed needs all its columns too: for a condition that always holds
+    needed = (F.col("n") > 0) | (F.xxhash64("known", "doc", "row", "number") > 0)
+    units = stored(units.join(signed(units.where(needed)), "unit"), "line-units")
 
     keyed = units.select("unit", "n", F.explode("bands").alias("key"))
     several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")

@@ -137,3 +137,34 @@ def test_very_long_lines(spark):
     rows = [(1, long), (2, long + " and a little more"), (3, long[: len(long) // 2])]
     got = {r["doc_id"]: r["removed"] for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "", 2: "0", 3: ""}
+
+
+def test_a_shingle_meets_the_minima_of_its_part_only(spark):
+    """The signatures are those of all permutations over all shingles, but few of the minima are worked out for each shingle."""
+    r = random.Random(6)
+    units = spark.createDataFrame([(i, prose(r, 1)[: 3 + 40 * i]) for i in range(12)], "unit long, line string")
+    plan = lines.signed(units)._jdf.queryExecution().optimizedPlan().toString()
+    by_shingle = next(x for x in reversed(plan.split("\n")) if "Aggregate" in x)
+    assert 0 < by_shingle.count("min(") <= lines.BANDS * lines.ROWS // 8
+    masks = [lines.low_masks()[i] ^ (part << (64 - lines.TOP)) for i, part in lines.permutations()]
+    assert len(set(masks)) == lines.BANDS * lines.ROWS
+    # longs are compared with their sign, which is the highest bit of the part
+    signed = lambda x: x - (x >> 63 << 64)
+    want = []
+    for u in units.select("unit", lines.shingles(F.col("line")).alias("s")).collect():
+        least = [min(signed((h ^ m) & (1 << 64) - 1) for h in u["s"]) for m in masks]
+        want += [(u["unit"], j, *least[j * lines.ROWS : (j + 1) * lines.ROWS]) for j in range(lines.BANDS)]
+    names = [f"m{k}" for k in range(lines.ROWS)]
+    hashed = spark.createDataFrame(want, "unit long, j int, " + ", ".join(f"{x} long" for x in names)).select("unit", "j", F.xxhash64("j", *names).alias("band"))
+    bands = {(x["unit"], x["j"]): x["band"] for x in hashed.collect()}
+    for u in lines.signed(units).collect():
+        assert u["bands"] == [bands[u["unit"], j] for j in range(lines.BANDS)]
+
+
+def test_pairs_are_intersected_once(spark):
+    """A filter by the similarity doesn't move below the sets, with their expressions in place of names, nor into a lambda."""
+    texts = spark.createDataFrame([(1, "a line of some words"), (2, "a line of some wordz"), (3, "another")], "unit long, line string")
+    texts = texts.withColumn("size", F.size(lines.shingles(F.col("line"))))
+    found = lines.verified(spark.createDataFrame([(1, 2), (1, 3), (2, 2)], "a long, b long"), texts, 0.8)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(set_a") == 1 and [tuple(x) for x in found.collect()] == [(1, 2), (2, 2)]
